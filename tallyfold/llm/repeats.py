@@ -122,6 +122,31 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
     return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+CODEC = "zstd"
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """doc_id, doc, tag, bytes, packed: texts compressed one by one, as they are shuffled whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec(CODEC, 3)
+        for b in slices(batches, "text"):
+            data = text_bytes(b, "text")
+            z = pa.array([codec.compress(d, asbytes=True) if len(d) else b"" for d in data], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(d) for d in data], pa.int64()), z], names=["doc_id", "doc", "tag", "bytes", "packed"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.select("doc_id", "doc", "tag", "text").mapInArrow(run, f"doc_id {kind}, doc long, tag long, bytes long, packed binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The bytes of each text of ``packed``."""
+    codec = pa.Codec(CODEC)
+    size, z = (batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("bytes", "packed"))
+    for n, d in zip(size, z, strict=True):
+        yield np.frombuffer(codec.decompress(d, n, asbytes=True), np.uint8) if n else np.empty(0, np.uint8)
+
+
 class Seen:
     """Buckets of a task so far, and whether their first occurrence has been told of another; bounded by COMBINE."""
 
@@ -174,11 +199,11 @@ def contexts(rows: DataFrame) -> DataFrame:
     """(bucket, doc, tag, start, bytes) of the runs that may repeat; of equal ones in a batch, the first in document order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 16 << 20):
+        for b in slices(batches, "packed", 8 << 20):
             first: dict[bytes, tuple[int, int, int, int]] = {}
             where = {name: b.schema.get_field_index(name) for name in ("doc", "tag", "runs")}
             docs, tags, lists = (b.column(where[k]) for k in ("doc", "tag", "runs"))
-            for k, data in enumerate(text_bytes(b, "text")):
+            for k, data in enumerate(unpacked(b)):
                 if not lists[k].is_valid:
                     continue
                 doc, tag = docs[k].as_py(), tags[k].as_py()
@@ -258,10 +283,10 @@ def remove(rows: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 from texts, their runs and their originals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "packed", 2 << 20):
             lists, keeps = (b.column(b.schema.get_field_index(k)) for k in ("runs", "kept"))
             size, gone, spans, digest = [], [], [], []
-            for k, data in enumerate(text_bytes(b, "text")):
+            for k, data in enumerate(unpacked(b)):
                 size.append(len(data))
                 if lists[k].is_valid:
                     bad = covered(len(data), lists[k].values, keeps[k].values if keeps[k].is_valid else None)
@@ -290,7 +315,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = find_runs(rows).withColumn("n", met).where("sure or n > 1")
     found = work.save(found.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size")).alias("runs")))  # bounded by the text
     # repeated rows list their runs twice, which marks the same windows
-    texts = rows.join(found, ["doc", "tag"], "left").select("doc_id", "doc", "tag", "text", "runs")
+    texts = packed(rows).join(found, ["doc", "tag"], "left").select("doc_id", "doc", "tag", "bytes", "packed", "runs")
     held = contexts(texts).repartition("bucket").sortWithinPartitions("bucket", "doc", "tag", "start")
     kept = originals(held).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size")).alias("kept"))
-    return remove(texts.join(kept, ["doc", "tag"], "left").select("doc_id", "text", "runs", "kept"))
+    return remove(texts.join(kept, ["doc", "tag"], "left").select("doc_id", "bytes", "packed", "runs", "kept"))
