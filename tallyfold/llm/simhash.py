@@ -194,5 +194,6 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     work = Workspace(docs.sparkSession, "simhash-kept")
     groups = near_duplicates(docs.select("doc_id", "text"), radius)
     first = work.save(groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_first")).agg(F.count("*").alias("n")))
-    kept = docs.join(first.select("_first"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    # as many rows as documents are kept: joined by shuffle at every size, never broadcast
+    kept = docs.join(first.select("_first").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
     return kept.dropDuplicates(["doc_id"]) if first.where("n > 1").take(1) else kept
