@@ -34,6 +34,8 @@ WORDS, THRESHOLD, RADIUS = 5, 0.8, 12
 SEPARATORS = r"[\x00-/:-`{-\u00BF\u00D7\u00F7\u1680\u2000-\u206F\u3000-\u303F]+"
 #: Words of all items together up to which the benchmark's side is broadcast (about 30 bytes each).
 BROADCAST_WORDS = 1_000_000
+#: Ids of contaminated documents up to which they are broadcast (about 16 bytes each).
+BROADCAST_IDS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -151,6 +153,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """The documents that contain no item, with all their columns (null doc_ids too)."""
+    """The documents that contain no item, with all their columns (null doc_ids too).
+
+    The ids found are written and counted; at most BROADCAST_IDS are broadcast, more are joined by shuffle.
+    """
     found = matches(docs.select("doc_id", "text"), benchmark, threshold, radius).select(F.col("doc_id").alias("_found")).distinct()
+    found = Workspace(docs.sparkSession, "contaminated").save(found)
+    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found.hint("merge")
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")

@@ -151,14 +151,17 @@ def bucket_components(fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS)
     return root
 
 
-def star_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v): edges that connect all distinct fingerprints ``fp`` within the radius (2 at most)."""
+def star_edges(fps: DataFrame, work: Workspace, radius: int = RADIUS) -> DataFrame:
+    """(u, v): edges that connect all distinct fingerprints ``fp`` within the radius (2 at most).
+
+    Keys with their counts are written first: the join then has two shuffled sides, of which Spark can split hot keys.
+    """
     if not 0 <= radius <= 2:
         raise ValueError("four blocks find at most two differing bits")
     block = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
     keys = [F.lit(t << 32) + F.shiftleft(block[i], 16) + block[j] for t, (i, j) in enumerate(combinations(range(4), 2))]
     entries = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = work.save(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     cut = entries.join(shared, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -177,13 +180,19 @@ def star_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component) of every document."""
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the component) of every document.
+
+    Components are found among distinct fingerprints, each with its smallest doc_id; documents meet them once,
+    in a join of two written tables, so that Spark can split a fingerprint that very many documents share.
+    """
     work = Workspace(docs.sparkSession, "simhash")
     own = work.save(fingerprints(docs))
-    label = components(star_edges(own.select("fp").distinct(), radius), work)
-    placed = own.join(label.withColumnRenamed("u", "fp"), "fp", "left").withColumn("c", F.coalesce("label", "fp"))
-    least = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "c").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = work.save(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    label = components(star_edges(distinct.select("fp"), work, radius), work)
+    placed = work.save(distinct.join(label.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("c")))
+    named = work.save(placed.groupBy("c").agg(F.min("least").alias("component_id")))
+    ids = work.save(placed.join(named, "c").select("fp", "component_id"))
+    return own.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

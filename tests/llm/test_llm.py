@@ -213,7 +213,7 @@ def test_bit_slices_and_chunked_buckets(monkeypatch, spark):
     from tallyfold.llm._common import Workspace
     from tallyfold.llm._components import components
 
-    label = components(simhash.star_edges(ball.distinct()), Workspace(spark, "test")).select("label").distinct()
+    label = components(simhash.star_edges(ball.distinct(), work := Workspace(spark, "test")), work).select("label").distinct()
     assert label.count() == 1
 
 
