@@ -91,6 +91,16 @@ def test_decontamination(spark):
     assert len(got) >= 9
 
 
+def test_clean_joins_alike_beyond_the_broadcast_bound(monkeypatch, spark, edge):
+    benchmark = spark.createDataFrame([(1, "same text here")], "item_id long, text string")
+    small = sorted(decontaminate.clean(edge, benchmark).collect(), key=str)
+    monkeypatch.setattr(decontaminate, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 0)
+    large = decontaminate.clean(edge, benchmark)
+    assert sorted(large.collect(), key=str) == small and len(small) == 6
+    assert "SortMergeJoin" in large._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_url_filter(spark):
     urls = ["http://a.com/x", "https://B.example.com/en/1?q", "https://www.example.com/en/", "http://x.net/fr/a#b", "http://x.net", None, "no scheme", "http://spam.org/p", "http://com", "http://fan.org/?/en/", "s://good.org#/x"]
     html = ['<a href="http://spam.org/">', "", None, "", "", "", "", '<a href="http://x.net/fr/">', "", "<a href='http://x.net/q'>", ""]
