@@ -45,6 +45,10 @@ DROP_ROLES = re.compile(
     re.I,
 )
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|article-?body|post-?(?:body|content)|entry-?content|story-?body|main-?content|content-?main)(?:$|[\s_-])", re.I)
+#: What an article may say that it is no article.
+ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:isement)?s?|sponsored|promo|comments?|reply|replies|related|recommended)(?:$|[\s_-])", re.I)
+#: Weight of the ratios of paths inside a marked article.
+MARKED = 8.0
 PUNCTUATION = re.compile(r"[.,;:!?…、。，]")
 SPACE = re.compile(r"\s+")
 
@@ -59,15 +63,16 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, each with its tag path and what its ancestors say."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, dropped, inside an article
+    stack: list[tuple[str, str, bool, int]] = []  # tag, label, dropped, number of the article around it or 0
     parts: list[str] = []
+    articles = 0
 
     def flush() -> None:
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                top = stack[-1] if stack else ("", "", False, False)
+                top = stack[-1] if stack else ("", "", False, 0)
                 out.append(Block("/".join(s[1] for s in stack), text, top[2], top[3]))
 
     def pop_to(k: int) -> None:
@@ -117,12 +122,17 @@ def blocks_of(page: str) -> list[Block]:
             if a[1].lower() == "class" and value:
                 label = f"{tag}.{'.'.join(value.split())}"
         words = " ".join(said)
-        _, _, dropped, article = stack[-1] if stack else ("", "", False, False)
+        _, _, dropped, article = stack[-1] if stack else ("", "", False, 0)
         opens = tag in ("article", "main") or bool(words and ARTICLE.search(words))
         dropped = dropped or tag in DROP_TAGS or (tag == "header" and not article)
         if words and tag not in ("html", "body", "article", "main") and not opens:
             dropped = dropped or bool(DROP_ROLES.search(words))
-        stack.append((tag, label, dropped, article or opens))
+        if tag == "article":
+            dropped = dropped or bool(ASIDE.search(words)) or any(s[0] == "article" for s in stack)
+        if opens and not article:
+            articles += 1
+            article = articles
+        stack.append((tag, label, dropped, article))
     flush()
     return out
 
@@ -131,13 +141,14 @@ def path_ratios(blocks: list[Block]) -> tuple[list[str], np.ndarray]:
     """The distinct paths in page order and the fused, smoothed ratio of each."""
     paths: dict[str, list[float]] = {}
     for b in blocks:
-        of = paths.setdefault(b.path, [0.0, 0.0, 0.0])
+        of = paths.setdefault(b.path, [0.0, 0.0, 0.0, 1.0])
         of[0] += 1
         of[1] += len(b.text)
         of[2] += len(PUNCTUATION.findall(b.text))
-    count, length, marks = np.array(list(paths.values())).T
-    fused = smoothed(length / count) * (1 + smoothed(marks / count))
-    return list(paths), fused
+        if b.article:
+            of[3] = MARKED
+    count, length, marks, weight = np.array(list(paths.values())).T
+    return list(paths), smoothed(length / count) * (1 + smoothed(marks / count)) * weight
 
 
 def smoothed(ratio: np.ndarray) -> np.ndarray:
@@ -150,13 +161,14 @@ def extract(page: str | None, share: float = 0.5) -> str:
     """The main text: content blocks joined by two line feeds."""
     blocks = blocks_of(page) if page else []
     kept = [b for b in blocks if not b.dropped]
-    if any(b.article for b in kept):
-        return "\n\n".join(b.text for b in kept if b.article)
     if not kept:
         return ""
     paths, fused = path_ratios(kept)
     limit = share * fused.std()
     content = {p for p, f in zip(paths, fused, strict=True) if f >= limit}
+    nodes = {b.article for b in kept if b.article and b.path in content}
+    if nodes:
+        return "\n\n".join(b.text for b in kept if b.article in nodes)
     # a heading takes the verdict of the content it stands in, as its own ratio is always low
     parents = {p.rpartition("/")[0] for p in content}
     content |= {p for p in paths if re.fullmatch(r"h[1-6](\..*)?", p.rpartition("/")[2]) and p.rpartition("/")[0] in parents}
