@@ -251,12 +251,17 @@ def _complete(model: Model, models: dict, samples: dict[str, list[str]]) -> None
 
 
 def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG, langs: int = MAX_LANGS) -> dict[str, list[str]]:
-    """At most ``per_lang`` whole texts of each of the ``langs`` most frequent languages, chosen by a hash of doc_id."""
+    """At most ``per_lang`` whole texts of each of the ``langs`` most frequent languages, those of the lowest hash of doc_id.
+
+    Only rows whose hash is in the lowest 4 ``per_lang`` / n of its range are ranked, n a language's documents: about 4
+    ``per_lang`` rows a language at any size of the corpus, among which the first ``per_lang`` stand.
+    """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).select("lang")
+    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs)  # langs rows
+    low = F.xxhash64("doc_id").cast("double") <= F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(4.0 * per_lang) / F.col("n")) - F.lit(2.0**63)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
-    chosen = chosen.join(frequent, "lang", "left_semi").select("doc_id").distinct()  # per_lang * langs rows at most
+    chosen = known.select("doc_id", "lang").join(F.broadcast(frequent), "lang").where(low)
+    chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id").distinct()  # per_lang * langs rows at most
     rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text", F.xxhash64("doc_id").alias("h")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
