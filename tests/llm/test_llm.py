@@ -291,3 +291,21 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {*range(30), 103}
+
+
+def test_html_ratios_select_the_article():
+    long = "A long sentence, with marks; and more of it. " * 4
+    comment = f"<article><p>Comment: {long}</p></article><article class='comment'><p>Reply: {long}</p></article>"
+    page = f"<body><div><p>Short note.</p></div><article><h1>T</h1><p>{long}</p><p>Be.</p>{comment}</article></body>"
+    assert html_extract.extract(page) == f"T\n\n{long.strip()}\n\nBe."
+    # no element says that it is the article: the ratios find it
+    assert html_extract.extract(f"<body><div class='x'><ul><li>a</li><li>b</li></ul></div><section><h1>T</h1><p>{long}</p></section></body>") == f"T\n\n{long.strip()}"
+
+
+def test_language_sample_is_the_lowest_hashes(spark):
+    rows = [(k, f"text {k}", "en" if k % 3 else "de") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.sample(docs, per_lang=50)
+    known = docs.where(~language_id.held_out(F.col("doc_id"))).select("text", "lang", F.xxhash64("doc_id").alias("h")).collect()
+    want = {x: [r["text"] for r in sorted((r for r in known if r["lang"] == x), key=lambda r: r["h"])[:50]] for x in ("de", "en")}
+    assert got == want
