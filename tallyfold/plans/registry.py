@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import losses, scalars
-from ..operators import arrays, estimators, metrics, prep, stats
+from ..operators import arrays, estimators, layers, metrics, prep, stats, training
 from ..operators.networks import Adam, Sequential
 from ..sources import matrices
 from ..streaming.drift import drift
@@ -505,18 +506,18 @@ def dense_forward(spark: SparkSession, d: str) -> DataFrame:
     return z.select("row_id", F.transform("values", lambda v: F.round(F.greatest(v, F.lit(0.0)), 6)).alias("out"))
 
 
-COO = "WITH c AS (SELECT i, CAST(unnest(range(8)) AS INTEGER) AS j, unnest(v) AS value FROM (SELECT vec_id AS i, [CAST(x AS DOUBLE) for x in embedding[1:8]] AS v FROM embeddings WHERE vec_id < 20))"
+COO = "WITH c AS (SELECT i, CAST(unnest(range(64)) AS INTEGER) AS j, unnest(v) AS value FROM (SELECT vec_id AS i, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings))"
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    return matrices.to_coo(vectors(spark, d, 8).where("row_id < 20").select("row_id", "values"))
+    return matrices.to_coo(vectors(spark, d).select("row_id", "values"))
 
 
-@query(f"{COO} SELECT a.i, CAST(b.i AS INTEGER) AS j, round(sum(a.value * b.value), 6) AS value FROM c a JOIN c b USING (j) GROUP BY a.i, b.i")
+@query(f"{COO} SELECT CAST(a.j AS BIGINT) AS i, b.j, round(sum(a.value * b.value), 6) AS value FROM c a JOIN c b USING (i) GROUP BY a.j, b.j")
 def matrix_product(spark: SparkSession, d: str) -> DataFrame:
-    """A 20 x 8 matrix times its transpose."""
+    """The transpose of the embeddings' matrix times it: 64 x 64."""
     c = cells(spark, d)
-    return rounded(arrays.matmul(c, arrays.transpose(c)))
+    return rounded(arrays.matmul(arrays.transpose(c), c))
 
 
 @query(f"{COO} SELECT CAST(j AS BIGINT) AS i, CAST(i AS INTEGER) AS j, value FROM c")
@@ -524,9 +525,9 @@ def matrix_transpose(spark: SparkSession, d: str) -> DataFrame:
     return arrays.transpose(cells(spark, d))
 
 
-@query(f"{COO} SELECT CAST(floor((i * 8 + j) / 4) AS BIGINT) AS i, CAST((i * 8 + j) % 4 AS INTEGER) AS j, value FROM c")
+@query(f"{COO} SELECT CAST(floor((i * 64 + j) / 4) AS BIGINT) AS i, CAST((i * 64 + j) % 4 AS INTEGER) AS j, value FROM c")
 def matrix_reshape(spark: SparkSession, d: str) -> DataFrame:
-    return arrays.reshape(cells(spark, d), 8, 4)
+    return arrays.reshape(cells(spark, d), 64, 4)
 
 
 @query(f"{COO} SELECT i, value FROM c WHERE i = j")
@@ -571,3 +572,70 @@ def radial_feature(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")
 def hourly_drift(spark: SparkSession, d: str) -> DataFrame:
     return rounded(drift(t(spark, d, "events"), "ts", "value"))
+
+
+CELL = f"WITH e AS ({EMB}), u AS (SELECT row_id, unnest(range(64)) AS j, unnest(v) AS x FROM e)"
+
+
+def listed(a: DataFrame, places: int = 6) -> DataFrame:
+    return a.select("row_id", F.transform("values", lambda v: F.round(v, places) + 0.0).alias("values"))
+
+
+@query(f"""{CELL}, m AS (SELECT j, avg(x) AS m, sqrt(var_pop(x) + 1e-5) AS s FROM u GROUP BY j)
+SELECT row_id, list(round((x - m) / s, 6) + 0.0 ORDER BY j) AS values FROM u JOIN m USING (j) GROUP BY row_id""")
+def batch_norm(spark: SparkSession, d: str) -> DataFrame:
+    a = vectors(spark, d)
+    return listed(layers.BatchNorm().fit(a).transform(a))
+
+
+@query(f"""{CELL}, m AS (SELECT row_id, avg(x) AS m, sqrt(var_pop(x) + 1e-5) AS s FROM u GROUP BY row_id)
+SELECT row_id, list(round((x - m) / s, 6) + 0.0 ORDER BY j) AS values FROM u JOIN m USING (row_id) GROUP BY row_id""")
+def layer_norm(spark: SparkSession, d: str) -> DataFrame:
+    return listed(layers.layer_norm(vectors(spark, d)))
+
+
+@query(f"""{CELL} SELECT row_id, list(CASE WHEN CAST('0x' || substr(md5('42-' || row_id || '-' || j), 1, 8) AS BIGINT) / 4294967296.0 >= 0.25 THEN round(x * (1 / 0.75::DOUBLE), 6) + 0.0 ELSE 0.0::DOUBLE END ORDER BY j) AS values
+FROM u GROUP BY row_id""")
+def dropout(spark: SparkSession, d: str) -> DataFrame:
+    return listed(layers.dropout(vectors(spark, d), 0.25))
+
+
+@query(f"WITH e AS ({EMB}) SELECT row_id, [round(greatest(v[2 * k + 1], v[2 * k + 2]), 6) + 0.0 for k in range(32)] AS values FROM e")
+def max_pool(spark: SparkSession, d: str) -> DataFrame:
+    return listed(layers.max_pool(vectors(spark, d)))
+
+
+@query(f"WITH e AS ({EMB}) SELECT row_id, [round(greatest(v[(k // 4) * 16 + (k % 4) * 2 + 1], v[(k // 4) * 16 + (k % 4) * 2 + 2], v[(k // 4) * 16 + (k % 4) * 2 + 9], v[(k // 4) * 16 + (k % 4) * 2 + 10]), 6) + 0.0 for k in range(16)] AS values FROM e")
+def max_pool_squares(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as images of 8 x 8."""
+    return listed(layers.max_pool2d(vectors(spark, d), 8, 8))
+
+
+@query(f"""WITH e AS ({EMB}) SELECT row_id, [round(v[(k // 6) * 8 + k % 6 + 1] - v[(k // 6 + 2) * 8 + k % 6 + 3] + 0.5 * v[(k // 6 + 1) * 8 + k % 6 + 2] + 0.1, 6) + 0.0 for k in range(36)] AS values FROM e""")
+def convolution(spark: SparkSession, d: str) -> DataFrame:
+    """A 3 x 3 kernel over embeddings as images of 8 x 8."""
+    kernel = np.array([[[[1.0, 0, 0], [0, 0.5, 0], [0, 0, -1.0]]]])
+    return listed(layers.conv2d(vectors(spark, d), kernel, np.array([0.1]), 8, 8))
+
+
+@query(f"""WITH e AS ({EMB}) SELECT row_id, [round(CASE WHEN CAST('0x' || substr(md5('42-' || row_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.5 THEN v[(k // 8) * 8 + 8 - k % 8] ELSE v[k + 1] END, 6) + 0.0 for k in range(64)] AS values FROM e""")
+def flipped(spark: SparkSession, d: str) -> DataFrame:
+    return listed(training.flip(8)(vectors(spark, d)))
+
+
+@query("""SELECT round(avg(CAST(quality = toxic AS DOUBLE)), 6) AS accuracy, round(avg(CAST((quality - toxic) ** 2 AS DOUBLE)), 6) AS mse, round(sqrt(avg(CAST((quality - toxic) ** 2 AS DOUBLE))), 6) AS rmse,
+round(avg(CAST(abs(quality - toxic) AS DOUBLE)), 6) AS mae FROM labels""")
+def model_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(training.evaluate(t(spark, d, "labels"), "quality", "toxic"))
+
+
+@query()
+def recurrent_states(spark: SparkSession, d: str) -> DataFrame:
+    """The last state of an LSTM over embeddings as 8 steps of 8 values (weights by seed; tested against a loop)."""
+    return listed(layers.recurrent(vectors(spark, d), 8, layers.gates(4, 8, 4)))
+
+
+@query()
+def transformer_states(spark: SparkSession, d: str) -> DataFrame:
+    """One transformer block over embeddings as 8 steps of 8 values (weights by seed; tested against a loop)."""
+    return listed(layers.transformer(vectors(spark, d), 8, [layers.transformer_weights(8, 16)], heads=2))
