@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of SimHash near-duplicates."""
+    """One document, that of the smallest doc_id, of each group of texts with a 5-word similarity of 0.8 or more."""
     return simhash.keep_first(docs)
 
 

@@ -11,6 +11,13 @@
 
 Edge cases: a null or empty text has fingerprint zero and is linked like any other; repeated rows are copies; an
 empty table gives no row; a text's words are all used.  Null doc_ids stay, and are no component's id if another is there.
+
+``keep_first``, the pipeline's stage, has parameters of its own: texts whose sets of 5-word shingles have a similarity
+(Jaccard) of 0.8 or more are near-duplicates.  At 0.8 fingerprints of 64 bits differ in about 10 bits (deviation 3), and
+a radius that loses nothing (20 or so) leaves blocks of three bits, by which every text meets every eighth.  So
+candidates come from BANDS keys of ROWS minima of the shingles' hashes each (a pair at 0.8 shares none with a
+probability of 3e-6, at 0.85 of 2e-8), and the exact similarity decides.  A bucket's texts are first compared with its
+smallest one, then all those that are still in different components pair by pair.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Workspace, group_starts, runs, slices, texts, with_column_names
@@ -30,6 +37,11 @@ RADIUS, SEED, WORDS = 2, 42, 3
 #: Fingerprints of a bucket that are compared in one group, and pairs of query and word in one step.
 CHUNK, STEP = 8192, 200_000
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Of the pipeline's stage: words of a shingle, similarity, keys of a text, minima in a key.
+KEEP_WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
+MIX = np.random.default_rng(SEED).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+#: Ids of candidates up to which they are broadcast (about 16 bytes each), so that other texts don't move.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> list[int]:
@@ -151,6 +163,18 @@ def bucket_components(fps: np.ndarray, starts: np.ndarray, radius: int = RADIUS)
     return root
 
 
+def chunked(entries: DataFrame, shared: DataFrame) -> DataFrame:
+    """Entries (first column, ..., key) of the shared keys (key, n), with a and b, sorted by (key, a, b): each group is
+    a bucket, or two chunks of a larger one, and every pair of a bucket is in a group."""
+    first, *more = [c for c in entries.columns if c != "key"]
+    cut = entries.join(shared.select("key", F.col("n").alias("_n")), "key").withColumn("chunks", F.ceil(F.col("_n") / CHUNK).cast("int"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64(first), F.col("chunks")).cast("int"))
+    other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cut = cut.select("key", first, *more, "chunks", "own", other.alias("other")).where("chunks = 1 or own <> other")
+    cut = cut.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), first, *more)
+    return cut.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+
 def star_edges(fps: DataFrame, work: Workspace, radius: int = RADIUS) -> DataFrame:
     """(u, v): edges that connect all distinct fingerprints ``fp`` within the radius (2 at most).
 
@@ -162,11 +186,7 @@ def star_edges(fps: DataFrame, work: Workspace, radius: int = RADIUS) -> DataFra
     keys = [F.lit(t << 32) + F.shiftleft(block[i], 16) + block[j] for t, (i, j) in enumerate(combinations(range(4), 2))]
     entries = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     shared = work.save(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    cut = entries.join(shared, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cut = cut.select("key", "fp", "chunks", "own", other.alias("other")).where("chunks = 1 or own <> other")
-    cut = cut.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+    cut = chunked(entries, shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["key", "a", "b"]):
@@ -176,7 +196,7 @@ def star_edges(fps: DataFrame, work: Workspace, radius: int = RADIUS) -> DataFra
             if len(edge):
                 yield pa.RecordBatch.from_arrays([pa.array(signed[edge]), pa.array(signed[root[edge]])], names=["u", "v"])
 
-    return cut.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u long, v long")
+    return cut.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -195,14 +215,107 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return own.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns; of repeated rows one stays.
+def shingle_array(text: str) -> np.ndarray:
+    """Hashes of the distinct shingles that the pipeline's stage compares."""
+    return np.unique(np.array(shingle_hashes(text, KEEP_WORDS), np.uint64))
 
-    Near-duplicate groups are decided on (doc_id, fingerprint); texts move once, to tell repeated rows apart.
-    """
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS numbers, each of ROWS minima; texts without a word have the same ones."""
+    low, h = np.full(len(MIX), 0xFFFFFFFF, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(h), 256):
+        low = np.minimum(low, (h[i : i + 256, None] * MIX).min(0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in low.reshape(BANDS, ROWS).T:
+        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def _node(text: str = "text") -> Column:
+    """A text's number; copies have the same one (by 64 bits), and a null is an empty text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, node, size (distinct shingles), keys of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = [shingle_array(t) for t in texts(b)]
+            keys = np.array([band_keys(h) for h in sets], np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(h) for h in sets], pa.int64()), lists], names=["doc_id", "node", "size", "keys"])
+
+    docs = with_column_names(docs, "doc_id", "text").select("doc_id", _node().alias("node"), "text")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, node long, size long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, hashes (of the distinct shingles) of the texts among ``nodes``, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = [shingle_array(t).view(np.int64) for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes.hint("merge")
+    own = docs.select(_node().alias("node"), "text").join(nodes, "node", "left_semi")
+    return own.mapInArrow(run, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose exact similarity is ``threshold`` or more."""
+    a, b = (sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}")) for k in "uv")
+    both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("hu", "hv")))
+    union = F.size("hu") + F.size("hv") - F.col("common")
+    return both.where((union == 0) | (F.col("common") / union >= threshold)).select("u", "v")
+
+
+def open_pairs(entries: DataFrame, mixed: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): pairs in a bucket of different components whose sizes allow the similarity; entries have node, size, label, key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["key", "a", "b"]):
+            node, size, label = (t.column(c).to_numpy() for c in ("node", "size", "label"))
+            starts = group_starts(t, ["key", "a", "b"])
+            for s, e in zip(starts, [*starts[1:], len(node)], strict=True):
+                for i in range(s, e - 1):
+                    n = size[i + 1 : e]
+                    j = i + 1 + np.flatnonzero((label[i + 1 : e] != label[i]) & (np.minimum(n, size[i]) >= threshold * np.maximum(n, size[i]) - 1e-9))
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[j], node[i])), pa.array(np.maximum(node[j], node[i]))], names=["u", "v"])
+
+    return chunked(entries, mixed).mapInArrow(run, "u long, v long").distinct()
+
+
+def similar_texts(docs: DataFrame, own: DataFrame, work: Workspace, threshold: float) -> DataFrame:
+    """(u, label): the smallest node of the component of similar texts, for each node but that one."""
+    nodes = own.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    entries = work.save(nodes.select("node", "size", F.explode("keys").alias("key")))
+    shared = work.save(entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"))
+    held = work.save(entries.join(shared.select("key", "least"), "key"))
+    work.drop(entries)
+    sets = work.save(shingle_sets(docs, work.save(held.select("node").distinct())))
+    tried = work.save(held.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct())
+    edges = work.save(similar(tried, sets, threshold))
+    label = work.save(components(edges, work))
+    placed = work.save(held.join(label.withColumnRenamed("u", "node"), "node", "left").select("node", "size", F.coalesce("label", "node").alias("label"), "key"))
+    mixed = work.save(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "n"))
+    left = work.save(open_pairs(placed, mixed, threshold).join(tried, ["u", "v"], "left_anti"))
+    more = work.save(similar(left, sets, threshold))
+    return components(edges.unionByName(more), work) if more.take(1) else label
+
+
+def keep_first(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The document with the smallest doc_id of each component of similar texts, with all its columns; of repeated rows one stays."""
     work = Workspace(docs.sparkSession, "simhash-kept")
-    groups = near_duplicates(docs.select("doc_id", "text"), radius)
-    first = work.save(groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_first")).agg(F.count("*").alias("n")))
+    own = work.save(keyed(docs))
+    label = similar_texts(docs, own, work, threshold).withColumnRenamed("u", "node")
+    least = work.save(own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("d")))
+    placed = least.join(label, "node", "left").select(F.coalesce("label", "node").alias("c"), "d")
+    chosen = placed.groupBy("c").agg(F.min("d.doc_id").alias("_first")).select("_first")
+    first = work.save(chosen.join(own.groupBy("doc_id").agg(F.count("*").alias("n")), F.col("_first").eqNullSafe(F.col("doc_id"))).select("_first", "n"))
     # as many rows as documents are kept: joined by shuffle at every size, never broadcast
     kept = docs.join(first.select("_first").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
     return kept.dropDuplicates(["doc_id"]) if first.where("n > 1").take(1) else kept
