@@ -308,14 +308,18 @@ def similar_texts(docs: DataFrame, own: DataFrame, work: Workspace, threshold: f
 
 
 def keep_first(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The document with the smallest doc_id of each component of similar texts, with all its columns; of repeated rows one stays."""
+    """One row of each component of similar texts, with all its columns: that of the smallest doc_id, of these the text
+    of the smallest number; a null doc_id is the last.  A row is known by its doc_id and its text, so rows that share
+    a doc_id, or have none, stay if their texts are of different components; of repeated rows one stays.
+    """
     work = Workspace(docs.sparkSession, "simhash-kept")
     own = work.save(keyed(docs))
     label = similar_texts(docs, own, work, threshold).withColumnRenamed("u", "node")
-    least = work.save(own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("d")))
-    placed = least.join(label, "node", "left").select(F.coalesce("label", "node").alias("c"), "d")
-    chosen = placed.groupBy("c").agg(F.min("d.doc_id").alias("_first")).select("_first")
-    first = work.save(chosen.join(own.groupBy("doc_id").agg(F.count("*").alias("n")), F.col("_first").eqNullSafe(F.col("doc_id"))).select("_first", "n"))
+    rows = own.groupBy("node", "doc_id").agg(F.count("*").alias("n"))
+    least = work.save(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("d")))
+    placed = least.join(label, "node", "left").select(F.coalesce("label", "node").alias("c"), F.struct("d.none", "d.doc_id", "node", "d.n").alias("d"))
+    first = work.save(placed.groupBy("c").agg(F.min("d").alias("d")).select(F.col("d.doc_id").alias("_first"), F.col("d.node").alias("_text"), F.col("d.n").alias("n")))
     # as many rows as documents are kept: joined by shuffle at every size, never broadcast
-    kept = docs.join(first.select("_first").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if first.where("n > 1").take(1) else kept
+    same = F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_node") == F.col("_text"))
+    kept = docs.withColumn("_node", _node()).join(first.select("_first", "_text").hint("merge"), same, "left_semi")
+    return (kept.dropDuplicates(["doc_id", "_node"]) if first.where("n > 1").take(1) else kept).drop("_node")

@@ -34,3 +34,10 @@ def test_keep_first_finds_edited_copies(spark):
                 root = {d: low if r == high else r for d, r in root.items()}
     got = sorted(r["doc_id"] for r in simhash.keep_first(docs(spark, rows)).collect())
     assert got == sorted(set(root.values())) and want <= set(got) and 1005 not in got
+
+
+def test_keep_first_chooses_rows_by_component(spark):
+    a, b, c = (" ".join(words(60, k)) for k in (1, 2, 3))
+    rows = [(None, a), (None, b), (None, b), (1, a), (7, b + " end"), (5, a + " more"), (5, c), (5, c), (None, " ".join(words(60, 4))), (None, " ".join(words(60, 5)))]
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_first(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, a), (7, b + " end"), (5, c), rows[8], rows[9]], key=str)
