@@ -3,15 +3,17 @@
 1. Words: lower case, split at punctuation and white space.  Shingles are five words; a text with fewer
    words is one shingle.  Shingles are compared by 64-bit hashes.
 2. Windows of the item's size: a window can only be similar to an item if they share a shingle, so windows begin where a
-   shared shingle aligns.  Similarity t over multisets of n shingles each needs (2t / (1 + t)) n common ones,
-   so any n - ceil(2tn / (1 + t)) + 1 of an item's shingles must include a common one: the rarest such
+   shared shingle aligns.  Similarity t to an item of n shingles needs t n common ones (a document shorter than the item
+   has no others), so any n - ceil(tn) + 1 of an item's shingles must include a common one: the rarest such
    shingles are its anchors, and no window is lost that aligns with a common shingle.
 3. SimHash of the window's words (a bit is the majority over words, repeats included) and of the item's.  A radius of r is
    searched with r + 1 blocks of bits: fingerprints within r agree in one block at least (multi-index).
 4. Exact weighted-shingle similarity (multiset Jaccard: every occurrence weighs 1) verifies the candidates.
 
-At a similarity of 0.8 at most one word in nine shingles differs, about one word in forty-five, and word
-fingerprints then differ in 4 or 5 bits (deviation 2); the default radius is 12.
+At a similarity of 0.8 one word in nine may differ (a passage that lost words at an end), or a fifth of an item's words
+be missing (a document shorter than the item): a bit then differs with a probability of 0.15 at most.  With random
+hashes of different words, over 28 of 64 bits differ with a probability of at most 1e-8 for items of 5 to 1000 words
+(computed from binomial sums); over 12 it is up to 0.16.  The default radius is 28.
 
 The benchmark's side of a join is broadcast while its words, which are counted first, are at most BROADCAST_WORDS; a
 larger benchmark is joined by shuffle and sort, where Spark splits skewed keys.
@@ -29,7 +31,7 @@ from pyspark.sql.window import Window
 
 from ._common import Workspace, with_column_names
 
-WORDS, THRESHOLD, RADIUS = 5, 0.8, 12
+WORDS, THRESHOLD, RADIUS = 5, 0.8, 28
 #: What stands between words of lower case: ASCII, Latin-1, general and CJK punctuation and spaces.
 SEPARATORS = r"[\x00-/:-`{-\u00BF\u00D7\u00F7\u1680\u2000-\u206F\u3000-\u303F]+"
 #: Words of all items together up to which the benchmark's side is broadcast (about 30 bytes each).
@@ -114,7 +116,7 @@ def anchors_of(items: DataFrame, threshold: float) -> DataFrame:
     """(hash, item_id, words, at): the rarest shingles of each item, enough that one must be shared."""
     each = items.select("item_id", "words", F.size("s").alias("n"), F.posexplode("s").alias("at", "hash"))
     frequency = each.groupBy("hash").agg(F.count("*").alias("f"))
-    need = F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+    need = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     order = F.row_number().over(Window.partitionBy("item_id").orderBy("f", "hash", "at"))
     return each.join(frequency, "hash").withColumn("k", order).where(F.col("k") <= need).select("hash", "item_id", "words", "at")
 

@@ -2,7 +2,7 @@
 
 import random
 
-from tallyfold.llm import simhash
+from tallyfold.llm import decontaminate, simhash
 
 
 def docs(spark, rows):
@@ -41,3 +41,14 @@ def test_keep_first_chooses_rows_by_component(spark):
     rows = [(None, a), (None, b), (None, b), (1, a), (7, b + " end"), (5, a + " more"), (5, c), (5, c), (None, " ".join(words(60, 4))), (None, " ".join(words(60, 5)))]
     got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_first(docs(spark, rows)).collect()), key=str)
     assert got == sorted([(1, a), (7, b + " end"), (5, c), rows[8], rows[9]], key=str)
+
+
+def test_passages_that_lost_words_at_an_end(spark):
+    items = [(k, " ".join(words(49, 300 + k, 10**6))) for k in range(80)]
+    rows = [(k, " ".join(words(60, 500 + k, 10**6) + t.split()[:44] + words(60, 700 + k, 10**6))) for k, t in items]
+    # documents shorter than their item, whose rarest shingles (the last four) they don't have
+    start = words(25, 9, 10**6)
+    items += [(100, " ".join(start + ["p", "q", "r", "s"])), (101, " ".join(start + ["t", "u", "v", "w"]))]
+    rows += [(100, " ".join(start))]
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in decontaminate.matches(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {**{(k, k): 0.8 for k in range(80)}, (100, 100): 0.84, (100, 101): 0.84}
