@@ -5,6 +5,7 @@ non-overlapping.  Entropy spans: maximal runs of key characters are candidates;
 base64) by the characters it has, and its windows' Shannon entropy is kept by incremental counts: as the window moves, one
 count falls and one grows, and only those two terms change.  A candidate whose best window reaches its
 class's threshold is a span of kind ``entropy`` unless the allow-list knows it (paths, hosts, UUIDs, words, examples).
+A UUID at its beginning, and a part between separators that names itself an example, are left out and the rest is judged.
 
 Spans are in code points, end exclusive.  Edge cases: a null or empty text has no span; very long texts
 are scanned whole, in one pass per pattern; repeated rows have equal spans.
@@ -36,12 +37,16 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits a character that a window must reach, by class; random windows of 20 have about 3.3, 3.9 and 4.1.
 THRESHOLD = {"hex": 3.0, "base36": 3.5, "base64": 3.7}
+#: UUIDs at the beginning, each up to a separator or the end.
+UUIDS = re.compile(r"(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}(?![0-9A-Za-z])[+/_=-]*)+")
+EXAMPLE = re.compile(r"(?i:example|sample|dummy|placeholder|changeme|xxxx)")
+PART = re.compile(r"[^+/_=-]+")
 ALLOW = (
-    re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"(?i).*(?:example|sample|dummy|placeholder|changeme|xxxx)"),
     re.compile(r"[0-9_=+/-]+\Z"),  # numbers and rules
-    re.compile(r"(?:[A-Z]?[a-z]+[_/-]?)+[0-9]{0,4}\Z"),  # words, paths, camel case
+    re.compile(r"(?:[a-z]|[A-Z](?=[a-z])|(?<=[a-z])[_/-])+[0-9]{0,4}\Z"),  # words, paths, camel case; one way to match only
 )
+#: A part of words; a candidate without digits that has no other part is no key.
+NAME = re.compile(r"(?:[a-z]|[A-Z](?=[a-z]))+\Z|[A-Z]+\Z")
 _TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -68,9 +73,9 @@ def window_entropy(s: str, width: int = WINDOW) -> float:
 
 
 def character_class(s: str) -> str | None:
-    """hex, base36 or base64 for strings that mix letters and digits; else None."""
+    """hex, base36 or base64 for strings that mix letters and digits, or letters of both cases; else None."""
     digit, lower, upper = any("0" <= c <= "9" for c in s), any("a" <= c <= "z" for c in s), any("A" <= c <= "Z" for c in s)
-    if not digit or not (lower or upper):
+    if not (lower and upper) and not (digit and (lower or upper)):
         return None
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
         return "hex"
@@ -79,14 +84,31 @@ def character_class(s: str) -> str | None:
     return "base36"
 
 
+def stretches(s: str) -> list[str]:
+    """A candidate without UUIDs at its beginning, cut where a part is an example; a window long at least."""
+    if m := UUIDS.match(s):
+        s = s[m.end() :]
+    out, at = [], 0
+    if EXAMPLE.search(s):
+        for p in PART.finditer(s):
+            if EXAMPLE.search(p[0]):
+                out.append(s[at : p.start()])
+                at = p.end()
+    out.append(s[at:])
+    return [x for x in out if len(x) >= WINDOW]
+
+
+def is_key(s: str) -> bool:
+    kind = character_class(s)
+    if not kind or any(a.match(s) for a in ALLOW):
+        return False
+    if not any("0" <= c <= "9" for c in s) and all(NAME.match(p) for p in PART.findall(s)):
+        return False
+    return window_entropy(s) >= THRESHOLD[kind]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    out = []
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        kind = character_class(s)
-        if kind and not any(a.match(s) for a in ALLOW) and window_entropy(s) >= THRESHOLD[kind]:
-            out.append(m.span())
-    return out
+    return [m.span() for m in CANDIDATE.finditer(text) if any(map(is_key, stretches(m[0])))]
 
 
 def base_spans(text: str, kinds: tuple[str, ...] = KINDS[:3]) -> dict[str, list[tuple[int, int]]]:

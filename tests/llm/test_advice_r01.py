@@ -1,8 +1,9 @@
 """Findings of the first review: what each of them says is lost is found."""
 
 import random
+import time
 
-from tallyfold.llm import decontaminate, simhash
+from tallyfold.llm import decontaminate, secret_scan, simhash
 
 
 def docs(spark, rows):
@@ -52,3 +53,18 @@ def test_passages_that_lost_words_at_an_end(spark):
     rows += [(100, " ".join(start))]
     got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in decontaminate.matches(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {**{(k, k): 0.8 for k in range(80)}, (100, 100): 0.84, (100, 101): 0.84}
+
+
+def test_keys_beside_allowed_parts():
+    key = "q9Zx2LmN7pRt5VwY1kBc8Df"
+    uuid = "8d1e2f3a-1b2c-4d5e-8f90-123456789abc"
+    for found in (f"{uuid}_{key}", f"sample-project/{key}", f"{key}-example", "QZxaLmNbpRtcVwYdkBceDfGh", "wJalrXUtnFEMIKMDENGbPxRfiCYzQ"):
+        assert secret_scan.entropy_spans(f"a {found} b") == [(2, 2 + len(found))]
+    for clean in (uuid, f"{uuid}_{uuid}", "my-sample-project/dummy-file", "//Some/Long/pathOfNames/README", f"{uuid}/sample", "sample-" + key.lower()[:12]):
+        assert secret_scan.entropy_spans(clean) == []
+
+
+def test_words_match_in_linear_time():
+    began = time.monotonic()
+    secret_scan.entropy_spans("a" * 5000 + "12345 " + "aB" * 2000 + "!")
+    assert time.monotonic() - began < 5
