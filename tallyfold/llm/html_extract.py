@@ -5,7 +5,9 @@ path the text length and the punctuation are added up, and each is divided by th
 text-path ratio and punctuation-path ratio.  Both are smoothed over the paths in page order, fused by their
 product, and a path is content when the fused ratio reaches a share of the deviation over the page.  Parts whose tag
 or class says what they are (menus, forms, comments, ...) are no content whatever their ratios; if
-the page marks its article, every other block inside the article is content.
+the page marks its article, every other block inside the article is content.  Inside an article such a word may be
+its subject (a section id made from a heading): there a word of many meanings, or a part of an id, drops
+an element only if its blocks don't read as article text, and never a heading or a paragraph.
 
 Edge cases: null, empty or text-free html gives an empty text.  Unclosed tags end with their parent; the
 text of an unclosed script or style is dropped, as a browser does.  Repeated rows are extracted alike.
@@ -44,6 +46,11 @@ DROP_ROLES = re.compile(
     r"|share|sharing|social|related|recommended|widgets?|toolbar|pagination|pager|search|masthead|topbar|complementary|contentinfo|skip-?links?)(?:$|[\s_-])",
     re.I,
 )
+#: Those of the words above that an article's own sections are named after too.
+MANIFOLD = re.compile(r"(?:^|(?<=[\s_-]))(?:side|foot|discussion|consent|notices?|notification|alert|disclaimer|share|sharing|social|related|search|promotions?)(?=$|[\s_-])", re.I)
+HEADING = re.compile(r"h[1-6]\Z")
+#: Characters that a block of sentences has at least, on the average of a part without its headings.
+SENTENCES = 60
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|article-?body|post-?(?:body|content)|entry-?content|story-?body|main-?content|content-?main)(?:$|[\s_-])", re.I)
 #: What an article may say that it is no article.
 ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:isement)?s?|sponsored|promo|comments?|reply|replies|related|recommended)(?:$|[\s_-])", re.I)
@@ -54,26 +61,44 @@ SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("path", "text", "dropped", "article")
+    __slots__ = ("path", "text", "dropped", "article", "doubt")
 
-    def __init__(self, path, text, dropped, article):
-        self.path, self.text, self.dropped, self.article = path, text, dropped, article
+    def __init__(self, path, text, dropped, article, doubt=0):
+        self.path, self.text, self.dropped, self.article, self.doubt = path, text, dropped, article, doubt
+
+
+def says_what_it_is(classes: str, ident: str) -> bool:
+    """Whether an element in an article is no article text by its class, role or whole id, without a second meaning."""
+    return bool(DROP_ROLES.search(MANIFOLD.sub("", classes)) or (m := DROP_ROLES.match(ident)) and m[0] == ident and not MANIFOLD.match(ident))
+
+
+def judge_doubtful(blocks: list[Block]) -> None:
+    """Drop the blocks of each doubtful element that doesn't read as article text: sentences of some length with marks."""
+    of: dict[int, list[Block]] = {}
+    for b in blocks:
+        if b.doubt and not b.dropped:
+            of.setdefault(b.doubt, []).append(b)
+    for part in of.values():
+        body = [b.text for b in part if not HEADING.match(b.path.rpartition("/")[2].partition(".")[0])]
+        if not body or sum(map(len, body)) < SENTENCES * len(body) or sum(len(PUNCTUATION.findall(t)) for t in body) < len(body):
+            for b in part:
+                b.dropped = True
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, each with its tag path and what its ancestors say."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, label, dropped, number of the article around it or 0
+    stack: list[tuple[str, str, bool, int, int]] = []  # tag, label, dropped, number of the article around it or 0, of the doubtful element
     parts: list[str] = []
-    articles = 0
+    articles = doubts = 0
 
     def flush() -> None:
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                top = stack[-1] if stack else ("", "", False, 0)
-                out.append(Block("/".join(s[1] for s in stack), text, top[2], top[3]))
+                top = stack[-1] if stack else ("", "", False, 0, 0)
+                out.append(Block("/".join(s[1] for s in stack), text, *top[2:]))
 
     def pop_to(k: int) -> None:
         flush()
@@ -115,25 +140,34 @@ def blocks_of(page: str) -> list[Block]:
                     pop_to(k)
                     if tag != "tr":
                         break
-        label, said = tag, []
+        label, said, idents = tag, [], []
         for a in ATTR.finditer(m["attrs"] or ""):
             value = a[2] or a[3] or a[4] or ""
             said.append(value)
+            if a[1].lower() == "id":
+                idents.append(said.pop())
             if a[1].lower() == "class" and value:
                 label = f"{tag}.{'.'.join(value.split())}"
-        words = " ".join(said)
-        _, _, dropped, article = stack[-1] if stack else ("", "", False, 0)
+        words, ident = " ".join([*said, *idents]), " ".join(idents)
+        _, _, dropped, article, doubt = stack[-1] if stack else ("", "", False, 0, 0)
         opens = tag in ("article", "main") or bool(words and ARTICLE.search(words))
         dropped = dropped or tag in DROP_TAGS or (tag == "header" and not article)
         if words and tag not in ("html", "body", "article", "main") and not opens:
-            dropped = dropped or bool(DROP_ROLES.search(words))
+            if not article:
+                dropped = dropped or bool(DROP_ROLES.search(words))
+            elif not dropped and DROP_ROLES.search(words):
+                dropped = says_what_it_is(" ".join(said), ident)
+                if not dropped and not doubt and tag != "p" and not HEADING.match(tag):
+                    doubts += 1
+                    doubt = doubts
         if tag == "article":
             dropped = dropped or bool(ASIDE.search(words)) or any(s[0] == "article" for s in stack)
         if opens and not article:
             articles += 1
             article = articles
-        stack.append((tag, label, dropped, article))
+        stack.append((tag, label, dropped, article, doubt))
     flush()
+    judge_doubtful(out)
     return out
 
 

@@ -3,7 +3,7 @@
 import random
 import time
 
-from tallyfold.llm import decontaminate, secret_scan, simhash
+from tallyfold.llm import decontaminate, html_extract, secret_scan, simhash
 
 
 def docs(spark, rows):
@@ -68,3 +68,12 @@ def test_words_match_in_linear_time():
     began = time.monotonic()
     secret_scan.entropy_spans("a" * 5000 + "12345 " + "aB" * 2000 + "!")
     assert time.monotonic() - began < 5
+
+
+def test_sections_named_after_their_subject_stay():
+    text = "We find that the effect holds, and that it is larger in older groups; see the table."
+    names = ("id=discussion", "id='related-work'", "id=side-effects", "id=search", "id=social-impact", "class=foot-note", "id=reply-rates")
+    parts = "".join(f"<section {n}><h2 id=search-{k}>Head {k}</h2><p>{k} {text}</p></section>" for k, n in enumerate(names))
+    junk = "<div class='related-posts'><ul><li><a>One</a></li><li><a>Two</a></li></ul></div><div class=comments><p>%s</p></div><div id=sidebar><p>%s</p></div><div class='share'>Share this</div>" % (text, text)
+    want = "T\n\n" + "\n\n".join(f"Head {k}\n\n{k} {text}" for k in range(len(names)))
+    assert html_extract.extract(f"<body><article><h1>T</h1>{parts}{junk}</article></body>") == want
