@@ -12,8 +12,8 @@
 
 At a similarity of 0.8 one word in nine may differ (a passage that lost words at an end), or a fifth of an item's words
 be missing (a document shorter than the item): a bit then differs with a probability of 0.15 at most.  With random
-hashes of different words, over 28 of 64 bits differ with a probability of at most 1e-8 for items of 5 to 1000 words
-(computed from binomial sums); over 12 it is up to 0.16.  The default radius is 28.
+hashes of different words, over 28 of 64 bits differ with a probability of about 1e-8 at most for items of 5 to 1000 words
+(computed from binomial sums, for each length to 129 and every 31st beyond); over 12 it is up to 0.16.  The default radius is 28.
 
 The benchmark's side of a join is broadcast while its words, which are counted first, are at most BROADCAST_WORDS; a
 larger benchmark is joined by shuffle and sort, where Spark splits skewed keys.
