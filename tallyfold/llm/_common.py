@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a Python worker handles at once; a row larger than this is handled alone.
 SLICE_BYTES = 4 << 20
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read a whole table with Spark's own reader (local, HDFS, object store alike)."""
@@ -20,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in tests, where it is unset, a new one."""
+    """The folder all executors share: spark.checkpoint.dir; on a single machine (master local), where it is unset, a new one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext.getCheckpointDir()
         if known is None:
+            master = spark.sparkContext.master
+            if not re.match(r"local($|\[)", master):
+                raise RuntimeError(f"spark.checkpoint.dir is unset, and master {master} needs a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfold-"))
             known = spark.sparkContext.getCheckpointDir()
         folder = known
@@ -54,6 +61,27 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
+def lean(run: Run) -> Run:
+    """``run`` for mapInArrow that releases its memory when it ends: Python workers live on between tasks and stages."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``size`` bytes in each; every row is kept."""
     for batch in batches:
@@ -80,6 +108,19 @@ def with_column_names(df: DataFrame, *needed: str) -> DataFrame:
     return df.select(*needed)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as no column of ``df`` has, in any case."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
+def position(df: DataFrame, column: str) -> int:
+    """Place of a column whatever the case of its name, as Spark resolves it."""
+    return [c.lower() for c in df.columns].index(column.lower())
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``keys``: about ``rows`` rows each, or one larger group."""
     held: list[pa.RecordBatch] = []

@@ -6,10 +6,11 @@ side: a sorted array of n-gram hashes per order, found by binary search, with on
 of context hashes with log back-off weights.  A text's language has the lowest cross-entropy a character (its
 end signs included); a calibrated limit on that cross-entropy, by language and length, rejects what fits none.
 
-A text is scored whole: the distinct words of a batch are scored once and summed by document.
+A text is scored whole: the distinct words of a batch are scored once and summed by document.  The score is the share of the
+best language among all (over 50 characters at most), and falls with the excess of a rejected text's cross-entropy over its limit.
 
-Edge cases: a null text, or one without letters, is ``und`` with score 0 and rejected; ties go to the language that
-sorts first; repeated rows get equal results; without any labelled row everything is ``und``.
+Edge cases: a null text, or one without letters (marks alone are none), is ``und`` with score 0 and rejected; ties go to the
+language that sorts first; repeated rows get equal results; without any labelled row everything is ``und``.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import slices, with_column_names
+from ._common import lean, position, slices, with_column_names
 
 ORDER = 5
-#: Bounds of the sample: documents a language, of which each fifth calibrates, and languages.
-DOCS_PER_LANG, MAX_LANGS = 400, 64
+#: Bound of the sample: documents a language, of which each fifth calibrates.
+DOCS_PER_LANG = 400
+#: Scores (of a character in a language) that are held at once.
+CELLS = 1_000_000
 UNDETERMINED = "und"
 BOUNDARY = 0x20
 #: Natural log-probability of a character that no language has seen, and deviations that the limit allows.
@@ -42,18 +45,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(row of each word, distinct words, index of each word in them)."""
+def words_of(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row of each word, distinct words, index of each word in them); a word has a letter."""
     low = pc.utf8_lower(pc.fill_null(column, ""))
     parts = pc.split_pattern_regex(low, r"[^\pL\pM]+")
     row = pc.list_parent_indices(parts).to_numpy()
     coded = parts.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
     at = coded.indices.to_numpy()
-    if "" in distinct:
-        keep = at != distinct.index("")
-        row, at = row[keep], at[keep]
-    return row, distinct, at
+    letter = pc.match_substring_regex(coded.dictionary, r"\pL").to_numpy(zero_copy_only=False)
+    if not letter.all():  # the empty string, and marks alone
+        keep = letter[at]
+        row, at = row[keep], (np.cumsum(letter) - 1)[at[keep]]
+    return row, coded.dictionary.filter(pa.array(letter)), at
 
 
 class Grams:
@@ -61,12 +64,23 @@ class Grams:
 
     def __init__(self, words: list[str], order: int = ORDER):
         sign = chr(BOUNDARY)
-        whole = sign + (sign + sign).join(words) + sign if words else ""
-        cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 2
         self.start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         self.word = np.repeat(np.arange(len(words)), size)
-        self.depth = np.arange(len(cp)) - np.repeat(self.start[:-1], size)
+        self.depth = np.arange(self.start[-1]) - np.repeat(self.start[:-1], size)
+        self._hash(sign + (sign + sign).join(words) + sign if words else "", order)
+
+    @classmethod
+    def part(cls, padded: str, begin: int, end: int, order: int = ORDER) -> Grams:
+        """Of the characters from ``begin`` to ``end`` of one padded word, with all that their n-grams reach back to."""
+        out, back = cls.__new__(cls), max(0, begin - order)
+        out.depth = np.arange(back, end)
+        out._hash(padded[back:end], order)
+        out.depth[: begin - back] = -1  # known, but not to be scored here
+        return out
+
+    def _hash(self, whole: str, order: int) -> None:
+        cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         self.h = [np.zeros(len(cp), np.uint64)]
         for _ in range(order):
             last = self.h[-1]
@@ -147,9 +161,8 @@ class Model:
     def order(self) -> int:
         return len(self.grams) - 1
 
-    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probability a language, characters predicted) of each word."""
-        g = Grams(words, self.order)
+    def char_scores(self, g: Grams) -> np.ndarray:
+        """Log-probability a language of each character (0 of those that are not predicted)."""
         out = np.zeros((len(g.depth), len(self.langs)), np.float32)
         todo = np.flatnonzero(g.depth > 0)
         for n in range(self.order, 0, -1):
@@ -162,17 +175,43 @@ class Model:
             out[missed[known]] += self.contexts[n][1][k[known]]
             todo = np.concatenate([todo[~ready], missed])
         out[todo] += np.float32(UNSEEN)
+        return out
+
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probability a language, characters predicted) of each word."""
         if not words:
             return np.zeros((0, len(self.langs))), np.zeros(0, np.int64)
-        return np.add.reduceat(out, g.start[:-1], axis=0, dtype=np.float64), np.diff(g.start) - 1
+        g = Grams(words, self.order)
+        return np.add.reduceat(self.char_scores(g), g.start[:-1], axis=0, dtype=np.float64), np.diff(g.start) - 1
+
+    def long_word_score(self, word: str, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """``word_scores`` of one word, ``step`` characters at a time."""
+        padded = f"{chr(BOUNDARY)}{word}{chr(BOUNDARY)}"
+        score = sum(self.char_scores(Grams.part(padded, k, min(k + step, len(padded)), self.order)).sum(0, np.float64) for k in range(0, len(padded), step))
+        return score[None], np.array([len(padded) - 1])
 
     def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(cross-entropy a language, characters) of each text; 0 characters where it has no letter."""
+        """(cross-entropy a language, characters) of each text; 0 characters where it has no letter.
+
+        Distinct words are scored once, CELLS scores of a character at a time, whatever their number and length.
+        """
         row, words, at = words_of(column)
-        score, size = self.word_scores(words)
-        n = np.bincount(row, size[at], len(column)).astype(np.int64)
-        total = np.stack([np.bincount(row, score[at, k], len(column)) for k in range(len(self.langs))], axis=1)
-        return -total / np.maximum(n, 1)[:, None], n
+        by_word = np.argsort(at, kind="stable")
+        row, at = row[by_word], at[by_word]
+        most = max(1000, CELLS // len(self.langs))
+        upto = np.concatenate([[0], np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False) + 2)])
+        n, total, a = np.zeros(len(column)), np.zeros((len(column), len(self.langs))), 0
+        while a < len(words):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + most, side="right")) - 1)
+            some = words.slice(a, b - a).to_pylist()
+            score, size = self.long_word_score(some[0], most) if len(some) == 1 and len(some[0]) > most else self.word_scores(some)
+            i, j = np.searchsorted(at, [a, b])
+            own, k = row[i:j], at[i:j] - a
+            n += np.bincount(own, size[k], len(column))
+            for x in range(len(self.langs)):
+                total[:, x] += np.bincount(own, score[k, x], len(column))
+            a = b
+        return -total / np.maximum(n, 1)[:, None], n.astype(np.int64)
 
     def limit(self, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
         return self.mean[lang] + DEVIATIONS * np.sqrt(self.sd[lang] ** 2 + 4.0 / np.maximum(n, 1))
@@ -186,9 +225,10 @@ class Model:
         best = h.argmin(1)
         low = h[np.arange(len(h)), best]
         spread = np.exp(-(h - low[:, None]) * np.minimum(n, 50)[:, None])
-        score = np.where(n > 0, 1 / spread.sum(1), 0.0)
+        limit = self.limit(best, n)
+        score = np.where(n > 0, np.exp(np.minimum(0, limit - low)) / spread.sum(1), 0.0)
         lang = [self.langs[k] if m else UNDETERMINED for k, m in zip(best, n, strict=True)]
-        return lang, score, np.where(n > 0, low, 0.0), (n == 0) | (low > self.limit(best, n))
+        return lang, score, np.where(n > 0, low, 0.0), (n == 0) | (low > limit)
 
 
 def train(samples: dict[str, list[str]], order: int = ORDER) -> Model:
@@ -200,9 +240,7 @@ def train(samples: dict[str, list[str]], order: int = ORDER) -> Model:
         rest[lang] = [t for i, t in enumerate(own) if i % 5 == 4] or own
         _, words, at = words_of(pa.array(learn, pa.string()))
         if len(at):
-            counts = np.bincount(at, minlength=len(words))
-            used = counts > 0
-            models[lang] = one_model([w for w, u in zip(words, used, strict=True) if u], counts[used], order)
+            models[lang] = one_model(words.to_pylist(), np.bincount(at, minlength=len(words)), order)
     langs = sorted(models)
     grams, contexts = [None], [None]
     for n in range(1, order + 1 if langs else 1):
@@ -231,7 +269,7 @@ def _complete(model: Model, models: dict, samples: dict[str, list[str]]) -> None
     """Fill in, by back-off, what a language gives to the n-grams that only another one has seen."""
     if not model.langs:
         return
-    words = sorted({w for own in samples.values() for w in words_of(pa.array(own, pa.string()))[1]})
+    words = sorted({w for own in samples.values() for w in words_of(pa.array(own, pa.string()))[1].to_pylist()})
     g = Grams(words, model.order)
     for n in range(1, model.order + 1):
         use = np.flatnonzero((g.depth >= 1) & (g.depth + 1 >= n))
@@ -250,18 +288,18 @@ def _complete(model: Model, models: dict, samples: dict[str, list[str]]) -> None
         np.nan_to_num(value, copy=False, nan=float(UNSEEN))
 
 
-def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG, langs: int = MAX_LANGS) -> dict[str, list[str]]:
-    """At most ``per_lang`` whole texts of each of the ``langs`` most frequent languages, those of the lowest hash of doc_id.
+def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> dict[str, list[str]]:
+    """At most ``per_lang`` whole texts of each language, those of the lowest hash of doc_id.
 
     Only rows whose hash is in the lowest 4 ``per_lang`` / n of its range are ranked, n a language's documents: about 4
     ``per_lang`` rows a language at any size of the corpus, among which the first ``per_lang`` stand.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs)  # langs rows
+    frequent = known.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
     low = F.xxhash64("doc_id").cast("double") <= F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(4.0 * per_lang) / F.col("n")) - F.lit(2.0**63)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("doc_id", "lang").join(F.broadcast(frequent), "lang").where(low)
-    chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id").distinct()  # per_lang * langs rows at most
+    chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id").distinct()  # per_lang rows a language at most
     rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text", F.xxhash64("doc_id").alias("h")).collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
@@ -284,13 +322,13 @@ def identify(docs: DataFrame, per_lang: int = DOCS_PER_LANG, order: int = ORDER)
 
     rows = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
     kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, per_lang: int = DOCS_PER_LANG, order: int = ORDER) -> DataFrame:
     """The documents that the model does not reject, with all their columns; ``lang`` becomes the prediction."""
     held = docs.sparkSession.sparkContext.broadcast(train(sample(docs.select("doc_id", "text", "lang"), per_lang), order))
-    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+    text, lang = (position(docs, c) for c in ("text", "lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -299,4 +337,4 @@ def keep_identified(docs: DataFrame, per_lang: int = DOCS_PER_LANG, order: int =
             b = b.set_column(lang, b.schema.field(lang), pa.array(found, b.schema.field(lang).type))
             yield b.filter(pa.array(~bad))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
