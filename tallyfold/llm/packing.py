@@ -22,7 +22,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import Workspace, slices, with_column_names
+from ._common import Workspace, lean, slices, with_column_names
 
 CAPACITY = 4096
 END_ID = 2
-#: Chunks whose ids a Python worker remembers, and pieces of a length ranked in one group.
-CACHE, RANK_GROUP = 500_000, 100_000
+#: Bytes of chunks that a Python worker remembers (each with ENTRY more for its place), and pieces of a length ranked in one group.
+CACHE, ENTRY, RANK_GROUP = 64 << 20, 200, 100_000
+#: A text by which a tokenizer is known to cut as ``Chunks`` does.
+PROBE = "It's WE'RE don't 1234 a1b2 x_y <|z ---!? caf\u00e9 \u00c0\u00df\u00f7\u00ff soft\u00adhyphen n\u00b2 \t\r\n\x0b tabs\tand\u00a0spaces \u0130\u03a3\u03c2 \u65e5\u672c e\u0301 end."
 
 
 def default_tokenizer() -> str:
@@ -52,7 +53,7 @@ class Chunks(dict):
     order.  A batch's distinct chunks are found by Arrow and looked up here.  A new chunk of ASCII and Latin-1
     letters is cut by the tokenizer's own pattern and its parts go to the BPE model at once (marks that
     follow a known word are added to its ids); any other chunk goes through the whole tokenizer.
-    The first CACHE chunks stay, as frequent ones come early; later ones are forgotten after their batch.
+    The first CACHE bytes of chunks stay, as frequent ones come early; later ones are forgotten after their batch.
     """
 
     def __init__(self, path: str):
@@ -68,7 +69,9 @@ class Chunks(dict):
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # byte-level BPE: other bytes follow from U+0100 on
         hidden = [b for b in range(256) if b not in set(visible)]
         self.letters = {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}
-        self.flat, self.start = array("I"), array("q", [0])
+        self.flat, self.start, self.size = array("I"), array("q", [0]), 0
+        if self.ids(pa.array([PROBE]))[0].tolist() != self.whole.encode(PROBE, add_special_tokens=False).ids:
+            raise ValueError(f"{path} cuts or normalises texts in another way than these chunks")
 
     def __missing__(self, chunk: str) -> int:
         flat = self.flat
@@ -87,6 +90,7 @@ class Chunks(dict):
             flat.extend(self.whole.encode(chunk, add_special_tokens=False).ids)
         self[chunk] = out = len(self.start) - 1
         self.start.append(len(flat))
+        self.size += ENTRY + len(chunk)
         return out
 
     def ids(self, column: pa.Array) -> list[np.ndarray]:
@@ -102,11 +106,11 @@ class Chunks(dict):
         where = np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)
         found = np.frombuffer(self.flat, np.uint32)[where] if len(where) else np.empty(0, np.uint32)
         del start
-        if (over := len(self) - CACHE) > 0:
-            for k in list(islice(reversed(self), over)):
-                del self[k]
-            del self.start[CACHE + 1 :]
-            del self.flat[self.start[-1] :]
+        while self.size > CACHE:
+            last, _ = self.popitem()
+            self.size -= ENTRY + len(last)
+        del self.start[len(self) + 1 :]
+        del self.flat[self.start[-1] :]
         return np.split(found, upto[ends[1:-1]])
 
 
@@ -114,7 +118,7 @@ _chunks: dict[str, Chunks] = {}
 
 
 def chunks(path: str) -> Chunks:
-    """One cache a worker process and tokenizer, kept over tasks and bounded by CACHE."""
+    """One cache a worker process and tokenizer, kept over tasks; it holds CACHE bytes at most between batches."""
     if path not in _chunks:
         _chunks[path] = Chunks(path)
     return _chunks[path]
@@ -125,7 +129,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = chunks(path)
-        for b in slices(batches, "text", 16 << 20):
+        for b in slices(batches, "text", 8 << 20):
             row, start, length, crc, total = [], [], [], [], []
             for k, found in enumerate(of.ids(pc.fill_null(b.column(1), ""))):
                 ids = np.append(found, np.uint32(end_id)).astype("<u4")
@@ -141,7 +145,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     docs = with_column_names(docs, "doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def best_fill(room: int, counts: dict[int, int]) -> dict[int, int]:
@@ -251,4 +255,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     rows = ranked(cut, sum(histogram.values())).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")
     kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padding long")
+    return rows.mapInArrow(lean(place), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padding long")
