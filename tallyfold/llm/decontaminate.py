@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import Workspace, with_column_names
+from ._common import Workspace, fresh, with_column_names
 
 WORDS, THRESHOLD, RADIUS = 5, 0.8, 28
 #: What stands between words of lower case: ASCII, Latin-1, general and CJK punctuation and spaces.
@@ -159,7 +159,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
 
     The ids found are written and counted; at most BROADCAST_IDS are broadcast, more are joined by shuffle.
     """
-    found = matches(docs.select("doc_id", "text"), benchmark, threshold, radius).select(F.col("doc_id").alias("_found")).distinct()
+    name = fresh(docs, "found")
+    found = matches(docs.select("doc_id", "text"), benchmark, threshold, radius).select(F.col("doc_id").alias(name)).distinct()
     found = Workspace(docs.sparkSession, "contaminated").save(found)
     found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found.hint("merge")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
