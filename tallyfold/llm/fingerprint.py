@@ -4,11 +4,12 @@ A sketch is the sorted array of the k smallest distinct 64-bit hashes of a text'
 white space; fewer words are one shingle, none is none).  The k smallest hashes of a union are among those of its parts, so
 sketches merge.  Of the k smallest hashes of the union of two sketches, the share that is in both estimates
 the resemblance; the k-th smallest hash gives the number of distinct shingles, and both give containment.
-A text with at most k shingles is sketched whole, and then all of these are exact.
+A text with at most k shingles is sketched whole, and then all of these are exact.  As a string a sketch is the hex digits of
+its hashes; ``read`` gives the sketch back, so that written sketches merge too.
 
 Edge cases: a null text is the empty text, with an empty sketch; two empty sketches have resemblance 1, one
 empty and one not 0; texts are sketched whole, however long; equal texts have equal sketches; ties in
-doc_id are ordered by text, null doc_ids come last; an empty table gives no row.
+doc_id are ordered by text, null doc_ids come last; an empty table gives no row; rows of one doc_id stand in one range.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql.window import Window
 from ._common import with_column_names
 
 WORDS, K = 5, 128
+#: Bytes of text in a range of doc_id, and ranges at most (their bounds go to every task); more text makes larger ranges, which are sorted with spill.
+RANGE_BYTES, MAX_RANGES = 16 << 20, 100_000
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -39,6 +42,18 @@ def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
     return F.slice(F.sort_array(F.array_distinct(each)), 1, k)
 
 
+def written(a: Column) -> Column:
+    """A sketch as text: 16 lowercase hex digits a hash, in order."""
+    return F.lower(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+
+
+def read(text: Column) -> Column:
+    """The sketch that ``written`` wrote."""
+    places = F.sequence(F.lit(0), F.floor(F.length(text) / 16).cast("int") - 1)
+    parts = F.transform(places, lambda i: F.conv(F.substring(text, i * 16 + 1, F.lit(16)), 16, -10).cast("bigint"))
+    return F.when(F.length(text) > 0, parts).otherwise(F.array().cast("array<bigint>"))
+
+
 def merged(a: Column, b: Column, k: int = K) -> Column:
     """The sketch of the union."""
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
@@ -109,8 +124,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     of each range, whose doc_id is the range's bound, is added as a last row to the range above.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splits = splits_of(docs, buckets)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    splits = splits_of(docs, min(MAX_RANGES, -(-size // RANGE_BYTES) or 1))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if splits:
         bounds = spark.createDataFrame([(int(s),) for s in splits], "doc_id bigint")  # one a range
@@ -122,7 +137,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     else:
         dealt, heads = own.withColumn("bucket", F.lit(0)), own.orderBy("text").limit(1).withColumn("bucket", F.lit(0))
     rows = dealt.withColumn("extra", F.lit(0)).unionByName(heads.withColumn("extra", F.lit(1)))
-    rows = rows.withColumn("fp", sketch(F.col("text")))
+    rows = rows.repartition("bucket").withColumn("fp", sketch(F.col("text")))  # after the shuffle, which so moves texts alone
     order = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc_nulls_last(), "text")
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order))
     return rows.where("extra = 0").drop("bucket", "extra")
@@ -143,8 +158,8 @@ def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
         "doc_id",
         F.length("text").cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.col("fp").alias("fingerprint"),
-        F.col("edited_fp").alias("edited_fingerprint"),
+        written(F.col("fp")).alias("fingerprint"),
+        written(F.col("edited_fp")).alias("edited_fingerprint"),
         resemblance(F.col("fp"), F.col("edited_fp"), k).alias("near_edited"),
         "near_next",
         containment(F.col("fp"), F.col("next_fp"), F.col("near_next"), k).alias("contained_in_next"),
