@@ -2,12 +2,13 @@
 
 1. Words: lower case, split at punctuation and white space.  Shingles are five words; a text with fewer
    words is one shingle.  Shingles are compared by 64-bit hashes.
-2. Windows of the item's size: a window can only be similar to an item if they share a shingle, so windows begin where a
+2. Windows of the items' sizes: a window can only be similar to an item if they share a shingle, so windows begin where a
    shared shingle aligns.  Similarity t to an item of n shingles needs t n common ones (a document shorter than the item
    has no others), so any n - ceil(tn) + 1 of an item's shingles must include a common one: the rarest such
    shingles are its anchors, and no window is lost that aligns with a common shingle.
-3. SimHash of the window's words (a bit is the majority over words, repeats included) and of the item's.  A radius of r is
-   searched with r + 1 blocks of bits: fingerprints within r agree in one block at least (multi-index).
+3. SimHash of the window's words (a bit is the majority over words, repeats included) and of every item.  A window meets all
+   items of its size, not only that of its anchor, through r + 1 blocks of bits: fingerprints within a radius of r agree in one
+   block at least (multi-index); a pair counts in the first block that agrees.
 4. Exact weighted-shingle similarity (multiset Jaccard: every occurrence weighs 1) verifies the candidates.
 
 At a similarity of 0.8 one word in nine may differ (a passage that lost words at an end), or a fifth of an item's words
@@ -16,7 +17,8 @@ hashes of different words, over 28 of 64 bits differ with a probability of about
 (computed from binomial sums, for each length to 129 and every 31st beyond); over 12 it is up to 0.16.  The default radius is 28.
 
 The benchmark's side of a join is broadcast while its words, which are counted first, are at most BROADCAST_WORDS; a
-larger benchmark is joined by shuffle and sort, where Spark splits skewed keys.
+larger benchmark is joined by shuffle and sort, where Spark splits skewed keys: there only hashes and places of shingles move,
+and the windows found fetch their words by the document's key afterwards.
 
 Edge cases: null, empty and wordless texts, on either side, match nothing; an item of fewer than five words matches only a
 document of exactly these words; ties between windows go to the first; repeated rows are found as often as
@@ -90,19 +92,37 @@ def _one_at(b: Column) -> Column:
 
 
 def numbered(hashes: Column) -> Column:
-    """A multiset as a set: each hash with the number of its occurrence."""
-    return _bound(F.sort_array(hashes), lambda o: F.transform(o, lambda h, i: F.xxhash64(h, (i - F.array_position(o, h)).cast("int"))))
+    """A multiset as a set: each hash with the number of its occurrence, in time linear in the sorted array."""
+
+    def runs(o: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i == 0) | (F.get(o, i) != F.get(o, i - 1)))
+        return _bound(first, lambda s: F.flatten(F.transform(s, lambda b, k: each(o, s, b, k))))
+
+    def each(o: Column, s: Column, b: Column, k: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.coalesce(F.get(s, k + 1), F.size(o)) - b - 1), lambda j: F.xxhash64(F.get(o, b), j))
+
+    return _bound(F.sort_array(hashes), lambda o: F.when(F.size(o) > 0, runs(o)).otherwise(o))
+
+
+def cuts(radius: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of radius + 1 blocks of the 64 bits."""
+    at = [64 * k // (radius + 1) for k in range(radius + 2)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
+
+
+def block_of(fp: Column, at: int, bits: int) -> Column:
+    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
 
 
 def blocks(fp: Column, radius: int) -> Column:
-    """radius + 1 blocks of the 64 bits, each with its number."""
-    cut = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return F.array(
-        *(
-            F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")).alias("bits"))
-            for k, (a, b) in enumerate(zip(cut, cut[1:]))
-        )
-    )
+    """The blocks, each with its number."""
+    return F.array(*(F.struct(F.lit(k).alias("block"), block_of(fp, *c).alias("bits")) for k, c in enumerate(cuts(radius))))
+
+
+def first_common(a: Column, b: Column, radius: int) -> Column:
+    """Number of the first block in which two fingerprints agree."""
+    x = a.bitwiseXOR(b)
+    return F.coalesce(*(F.when(block_of(x, *c) == 0, F.lit(k)) for k, c in enumerate(cuts(radius))))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -134,21 +154,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
         return F.broadcast(df) if small else df.hint("merge")
 
     anchors = side(anchors_of(items, threshold))
-    hashed = docs.select("doc_id", words_of(F.col("text")).alias("h"))
-    placed = with_shingles(hashed, "h")
-    begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("h") - F.col("words")))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), words_of(F.col("text")).alias("h"))
     # an item longer than the document is compared with the whole document
-    window = placed.join(anchors, "hash").withColumn("start", begin).select("doc_id", "item_id", "words", "start", F.slice("h", F.col("start") + 1, F.col("words")).alias("w"))
-    window = window.where(F.size("w") > 0).withColumn("what", F.xxhash64("w")).groupBy("doc_id", "item_id", "start", "what").agg(F.first("words").alias("words"), F.first("w").alias("w"))
-    window = window.withColumn("fp", simhash(F.col("w"))).select("*", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("*", "b.block", "b.bits")
-    known = items.select(F.col("item_id").alias("known_id"), "item_set", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("b"))
-    known = known.select("known_id", "item_set", "item_fp", F.col("b.block").alias("block"), F.col("b.bits").alias("bits"))
-    near = window.join(side(known), (F.col("item_id") == F.col("known_id")) & (window["block"] == known["block"]) & (window["bits"] == known["bits"]))
-    near = near.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= radius)
-    near = near.dropDuplicates(["doc_id", "item_id", "start", "what"])
-    near = near.withColumn("own", numbered(shingles(F.col("w"))))
+    begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("long") - F.col("words"))).alias("start")
+    placed = with_shingles(rows.withColumn("long", F.size("h")), "h")
+    if small:
+        window = placed.join(anchors, "hash").select("doc_id", "row", "h", "words", begin)
+    else:  # only shingles move; the windows found meet their words again
+        found = placed.select("row", "long", "pos", "hash").join(anchors, "hash").select("row", "words", begin).distinct()
+        window = rows.join(found.hint("merge"), "row")
+    window = window.select("doc_id", "row", "words", "start", F.slice("h", F.col("start") + 1, F.col("words")).alias("w")).where(F.size("w") > 0)
+    window = window.groupBy("doc_id", "row", "words", "start").agg(F.first("w").alias("w"))
+    window = window.withColumn("fp", simhash(F.col("w"))).withColumn("own", numbered(shingles(F.col("w")))).drop("w")
+    window = window.select("*", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("*", "b.block", "b.bits").drop("b")
+    known = items.select(F.col("words").alias("item_words"), "item_id", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("b"))
+    known = known.select("item_words", "item_id", "item_fp", F.col("b.block").alias("item_block"), F.col("b.bits").alias("item_bits"))
+    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    agree = (F.col("words") == F.col("item_words")) & (F.col("block") == F.col("item_block")) & (F.col("bits") == F.col("item_bits"))
+    near = window.join(side(known), agree & (distance <= radius) & (first_common(F.col("fp"), F.col("item_fp"), radius) == F.col("block")))
+    near = near.select("doc_id", "start", "item_id", "own", distance.alias("distance")).join(side(items.select("item_id", "item_set")), "item_id")
     common = F.size(F.array_intersect("own", "item_set"))
     near = near.withColumn("similarity", common / (F.size("own") + F.size("item_set") - common)).where(F.col("similarity") >= threshold)
+    near = near.dropDuplicates(["doc_id", "item_id", "start", "similarity", "distance"])  # of repeated rows
     best = F.max_by(F.struct("similarity", "distance", "start"), F.struct(F.col("similarity"), -F.col("distance"), -F.col("start")))
     out = near.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count("*").alias("n_windows"))
     return out.select("doc_id", "item_id", "best.similarity", "best.distance", "best.start", "n_windows")
