@@ -2,8 +2,11 @@
 
 import random
 import time
+from collections import Counter
 
-from tallyfold.llm import decontaminate, html_extract, secret_scan, simhash
+from pyspark.sql import functions as F
+
+from tallyfold.llm import decontaminate, fingerprint, html_extract, secret_scan, simhash
 
 
 def docs(spark, rows):
@@ -77,3 +80,59 @@ def test_sections_named_after_their_subject_stay():
     junk = "<div class='related-posts'><ul><li><a>One</a></li><li><a>Two</a></li></ul></div><div class=comments><p>%s</p></div><div id=sidebar><p>%s</p></div><div class='share'>Share this</div>" % (text, text)
     want = "T\n\n" + "\n\n".join(f"Head {k}\n\n{k} {text}" for k in range(len(names)))
     assert html_extract.extract(f"<body><article><h1>T</h1>{parts}{junk}</article></body>") == want
+
+
+def test_sketches_merge_over_parts_and_as_text(spark):
+    rows = [(k, " ".join(words(n, k, 300))) for k, n in enumerate((0, 2, 5, 60, 700, 3000))]
+    sk = docs(spark, rows).withColumn("s", fingerprint.sketch(F.col("text")))
+    back = sk.select("doc_id", "s", fingerprint.read(fingerprint.written(F.col("s"))).alias("r")).collect()
+    assert all(r["s"] == r["r"] for r in back) and len(back[-1]["s"]) == fingerprint.K
+    # a document's parts, each with the four words before it, have its sketch together
+    parts = [(k, " ".join(t.split()[max(0, i - 4) : i + 100])) for k, t in rows for i in range(0, max(1, len(t.split())), 100)]
+    each = docs(spark, parts).withColumn("s", fingerprint.sketch(F.col("text")))
+    whole = {r["doc_id"]: r["s"] for r in back}
+    assert {r["doc_id"]: r["s"] for r in fingerprint.merge_sketches(each, ["doc_id"], "s").collect()} == whole
+
+
+def test_containment(spark):
+    w = words(2000, 5, 10**6)
+    rows = [(0, " ".join(w)), (1, " ".join(w[:1000])), (2, " ".join(words(800, 6, 10**6))), (3, "")]
+    sk = {r["doc_id"]: r for r in docs(spark, rows).withColumn("s", fingerprint.sketch(F.col("text"))).collect()}
+    pairs = spark.createDataFrame([(i, j, sk[i]["s"], sk[j]["s"]) for i in sk for j in sk], "i long, j long, a array<bigint>, b array<bigint>")
+    near = fingerprint.resemblance(F.col("a"), F.col("b"))
+    got = {(r["i"], r["j"]): r["c"] for r in pairs.select("i", "j", fingerprint.containment(F.col("a"), F.col("b"), near).alias("c")).collect()}
+    assert abs(got[1, 0] - 1) < 0.2 and abs(got[0, 1] - 0.5) < 0.15 and got[2, 0] < 0.05 and got[3, 0] == 1 and got[0, 3] == 0
+
+
+def test_edited_passages_meet_their_item_through_blocks(spark):
+    """Replaced, inserted and removed words: all that a brute force finds at 0.8, with a small and with a large benchmark."""
+    rng = random.Random(3)
+    items = [(k, " ".join(words(rng.randrange(8, 60), 40 + k, 400))) for k in range(30)]
+    rows = []
+    for k in range(90):
+        w = items[k % 30][1].split()
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w))
+            w[i : i + rng.randrange(2)] = words(rng.randrange(2), rng.random(), 400)
+        rows.append((k, " ".join(words(30, 200 + k, 400) + w + words(20, 300 + k, 400))))
+
+    def grams(w):
+        return Counter(zip(*(w[k:] for k in range(5))))
+
+    want = set()
+    for d, t in rows:
+        v = t.split()
+        for i, b in items:
+            g, n = grams(b.split()), len(b.split())
+            for s in range(len(v) - n + 1):
+                own = grams(v[s : s + n])
+                if sum((own & g).values()) >= 0.8 * sum((own | g).values()):
+                    want.add((d, i))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    small = {(r["doc_id"], r["item_id"]): tuple(r) for r in decontaminate.matches(docs(spark, rows), benchmark).collect()}
+    assert set(small) == want and 30 < len(want) < 90
+    before, decontaminate.BROADCAST_WORDS = decontaminate.BROADCAST_WORDS, 0
+    try:
+        assert {(r["doc_id"], r["item_id"]): tuple(r) for r in decontaminate.matches(docs(spark, rows), benchmark).collect()} == small
+    finally:
+        decontaminate.BROADCAST_WORDS = before

@@ -1,6 +1,7 @@
 """Each operator against brute force on small inputs, and on nulls, empty and repeated rows and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -115,22 +116,58 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
-def test_language_model_sums_to_one_and_separates():
-    grams, contexts = language_id.one_model(["then", "the", "that", "hat"], np.array([3, 2, 1, 1]), 3)
-    letters = {c for w in ("then", "the", "that", "hat") for c in w} | {" "}
-    g = language_id.Grams([f"t{c}" if c != " " else "t" for c in sorted(letters)], 3)
-    h = g.h[3][g.depth == 2]
-    at, ok = language_id.find(grams[3][0], h)
-    seen = np.exp(grams[3][1][at[ok]]).sum()
-    k, _ = language_id.find(contexts[3][0], g.context(3)[g.depth == 2][:1])
-    low = g.h[2][g.depth == 2][~ok]
-    j, has = language_id.find(grams[2][0], low)
-    assert seen + np.exp(contexts[3][1][k[0]]) * np.exp(grams[2][1][j[has]]).sum() == pytest.approx(1, abs=0.2)
+def test_language_model_is_interpolated_kneser_ney():
+    """Against counts in dictionaries: each order's probabilities, and their sum over 100,000 characters."""
+    known, order, discount = {"then": 3, "the": 2, "that": 1, "hat": 1, "aaa": 2}, 3, 0.75
+    padded = {f" {w} ": n for w, n in known.items()}
+    counts = Counter()
+    for n in range(1, order + 1):
+        left = {}
+        for w, times in padded.items():
+            for i in range(1, len(w)):
+                if i + 1 >= n:
+                    g = w[i + 1 - n : i + 1]
+                    if n == order or i + 1 == n:  # counts: the highest order, and at the start of a word
+                        counts[n, g] += times
+                    else:
+                        left.setdefault(g, set()).add(w[i - n : i + 1])
+        for g, before in left.items():
+            counts[n, g] += len(before)
+
+    def p(n, context, c):
+        if not n:
+            return 1e-5
+        own = {g: k for (m, g), k in counts.items() if m == n and g[:-1] == context}
+        if not own:
+            return p(n - 1, context[1:], c)
+        total = sum(own.values())
+        back = sum(min(k, discount) for k in own.values()) / total
+        return max(own.get(context + c, 0) - discount, 0) / total + back * p(n - 1, context[1:], c)
+
+    once = language_id.one_model(list(known), np.array(list(known.values())), order)
+    m = language_id.Model(["x"], [None] + [(t, v[:, None].astype(np.float32)) for t, v in once[0][1:]], [None] + [(t, v[:, None].astype(np.float32)) for t, v in once[1][1:]])
+    for word in ("the", "tha", "zzz", "nehta", "aaaa", "h", "hatthen"):
+        w = f" {word} "
+        want = sum(math.log(p(min(order, i + 1), w[max(0, i + 1 - order) : i], w[i])) for i in range(1, len(w)))
+        assert m.word_scores([word])[0][0, 0] == pytest.approx(want, rel=1e-6)
+        assert m.long_word_score(word, 2)[0][0, 0] == pytest.approx(want, rel=1e-6)
+    letters = {c for w in padded for c in w}
+    for context in ("th", "ha", " t", "zz"):
+        assert sum(p(3, context, c) for c in letters) + (1e5 - len(letters)) * p(3, context, "\0") == pytest.approx(1, rel=1e-9)
+
+
+def test_language_of_texts(monkeypatch):
     a, b = ["the cat and the other thing there"] * 10, ["der und die nicht eine schule ich"] * 10
     m = language_id.train({"en": a, "de": b})
     lang, score, _, bad = m.predict(pa.array(["the other cat", "nicht die schule", "", None, "12"]))
     assert lang == ["en", "de", "und", "und", "und"] and list(bad[2:]) == [True] * 3 and (score[:2] > 0.9).all()
-    assert m.predict(pa.array(["漢字仮名交じり文" * 30]))[3][0]
+    far = m.predict(pa.array(["漢字仮名交じり文" * 30, "\u0301\u0300 \u0301", "the other cat " * 50 + "\u0301"]))
+    assert far[0][1:] == ["und", "en"] and list(far[3]) == [True, True, False] and far[1][0] < 0.5 and far[1][1] == 0
+    column = pa.array(["the other cat " * 9, "nicht" * 4000, None])
+    whole = m.entropies(column)
+    monkeypatch.setattr(language_id, "CELLS", 10)
+    for x, y in zip(whole, m.entropies(column), strict=True):
+        assert np.allclose(x, y, rtol=1e-5)
 
 
 def test_fingerprint(spark):
