@@ -136,3 +136,56 @@ def test_edited_passages_meet_their_item_through_blocks(spark):
         assert {(r["doc_id"], r["item_id"]): tuple(r) for r in decontaminate.matches(docs(spark, rows), benchmark).collect()} == small
     finally:
         decontaminate.BROADCAST_WORDS = before
+
+
+PROSE = "A sentence of some length, with a mark; and a second one that is as long. "
+
+
+def test_ratios_select_blocks_and_nodes(monkeypatch):
+    """No class, role or element says what is what: the ratios tell prose from links, and with equal ratios they don't."""
+    links = "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(8))
+    page = f"<body><div><ul>{links}</ul></div><div><section><h2>Head</h2>{''.join(f'<p>{PROSE * 3}{k}.</p>' for k in range(6))}</section></div><div>Contact</div></body>"
+    want = "\n\n".join(["Head", *(f"{PROSE * 3}{k}." for k in range(6))])
+    assert html_extract.extract(page) == want
+    monkeypatch.setattr(html_extract, "smoothed", lambda ratio: ratio * 0 + 1)
+    assert html_extract.extract(page) != want
+
+
+def test_path_ratios_by_brute_force():
+    page = f"<body><div class=a><p>{PROSE}</p><p>Short.</p></div><div class=b><ul><li>One</li><li>Two, three</li></ul></div><article><p>{PROSE * 2}</p></article></body>"
+    blocks, paths = html_extract.blocks_of(page)
+
+    def name(p):
+        return f"{name(paths.parent[p])}/{paths.label[p]}" if p else ""
+
+    texts = {}
+    for b in blocks:
+        texts.setdefault(name(b.path), []).append(b.text)
+    assert list(texts) == ["/body/div.a/p", "/body/div.b/ul/li", "/body/article/p"]
+    length = [sum(map(len, t)) / len(t) for t in texts.values()]
+    marks = [sum(c in ".,;:!?" for x in t for c in x) / len(t) for t in texts.values()]
+
+    def smooth(r):
+        return [0.125 * r[max(0, k - 1)] + 0.75 * r[k] + 0.125 * r[min(len(r) - 1, k + 1)] for k in range(len(r))]
+
+    want = [a * (1 + m) * w for a, m, w in zip(smooth(length), smooth(marks), (1, 1, html_extract.MARKED), strict=True)]
+    order, fused, count = html_extract.path_ratios(blocks)
+    assert [name(p) for p in order] == list(texts) and list(count) == [2, 2, 1]
+    assert all(abs(x - y) < 1e-9 for x, y in zip(fused, want, strict=True))
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    pages = ("<div>" * 20000 + "x", '<a "' * 20000, "<li>x</li>" * 20000, "<div>" * 10000 + "<li>a</li></x>" * 10000, "<script " * 20000, "<p>" * 20000 + "</b>" * 20000, "<div a='" * 10001 + ">")
+    began = time.monotonic()
+    got = [html_extract.extract(p) for p in pages]
+    assert time.monotonic() - began < 10
+    assert got[0] == "x" and got[2].count("x") == 20000
+    assert html_extract.extract("a <b c='x>y</b> z") == "a y z" and html_extract.extract("1 < 2 and 3 <") == "1 < 2 and 3 <"
+
+
+def test_pages_table_edges(spark):
+    rows = [(1, "u", "<article><p>A b.</p></article>"), (1, "u", "<article><p>A b.</p></article>"), (None, None, None), (2, "v", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("t")).withColumn("n_chars", F.lit(9))
+    got = sorted(map(tuple, html_extract.extract_pages(pages).collect()), key=str)
+    assert got == sorted([(1, "u", "A b.", 4)] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=str)
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
