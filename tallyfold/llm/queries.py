@@ -70,12 +70,13 @@ def queries() -> dict[str, Query]:
 
 
 def license_sql() -> str:
-    """Lines and whole texts against every template, by word bigrams."""
+    """Lines, whole texts and windows at anchors against the templates, by word bigrams."""
     rows = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(license_scan.TEMPLATES))
+    marks = ", ".join(f"({k}, {at}, '{gram}')" for k, at, gram in license_scan.anchors())
     t = license_scan.THRESHOLD
     grams = "CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END"
     return f"""
-WITH templates(k, name, body) AS (VALUES {rows}),
+WITH templates(k, name, body) AS (VALUES {rows}), anchors(k, place, gram) AS (VALUES {marks}),
 tw AS (SELECT k, name, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM templates),
 tg AS (SELECT k, name, len(g) AS n, g FROM (SELECT k, name, {grams} AS g FROM tw)),
 tc AS (SELECT k, gram, count(*) AS c FROM (SELECT k, unnest(g) AS gram FROM tg) GROUP BY ALL),
@@ -87,45 +88,48 @@ sg AS (SELECT sid, rid, {grams} AS g FROM numbered WHERE len(w) > 0),
 sized AS (SELECT sid, rid, len(g) AS n, g FROM sg WHERE len(g) <= (SELECT max(n) FROM tg) * (2 - {t}) / {t} + 1),
 sc AS (SELECT sid, gram, count(*) AS c FROM (SELECT sid, unnest(g) AS gram FROM sized) GROUP BY ALL),
 common AS (SELECT sc.sid, tc.k, sum(least(sc.c, tc.c)) AS c FROM sc JOIN tc USING (gram) GROUP BY ALL),
-scored AS (SELECT s.rid, s.sid, tg.k, tg.name, CAST(2 * common.c AS DOUBLE) / (s.n + tg.n) AS dice FROM common JOIN sized s USING (sid) JOIN tg USING (k)),
-best AS (SELECT * FROM scored WHERE dice >= {t} QUALIFY row_number() OVER (PARTITION BY sid ORDER BY dice DESC, k) = 1),
-byd AS (SELECT rid, arg_min(name, (-dice, k)) AS license, max(dice) AS dice, count(*) AS n_segments, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM best GROUP BY rid)
-SELECT ids.doc_id, byd.license, coalesce(byd.dice, 0.0) AS dice, coalesce(byd.n_segments, 0) AS n_segments, byd.licenses FROM ids LEFT JOIN byd USING (rid)"""
+scored AS (SELECT s.rid, tg.k, tg.name, CAST(2 * common.c AS DOUBLE) / (s.n + tg.n) AS dice FROM common JOIN sized s USING (sid) JOIN tg USING (k)),
+whole AS (SELECT rid, {grams} AS g FROM (SELECT rid, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM ids)),
+placed AS (SELECT rid, unnest(g) AS gram, generate_subscripts(g, 1) - 1 AS p, len(g) AS m FROM whole WHERE len(g) > 0),
+wins AS (SELECT DISTINCT rid, k, greatest(0, least(p - place, m - n)) AS b, n FROM placed JOIN anchors USING (gram) JOIN tg USING (k) WHERE n <= m),
+wc AS (SELECT rid, k, b, n, gram, count(*) AS c FROM (SELECT rid, k, b, n, unnest(g[b + 1 : b + n]) AS gram FROM wins JOIN whole USING (rid)) GROUP BY ALL),
+ws AS (SELECT rid, k, b, n, sum(least(wc.c, tc.c)) AS c FROM wc JOIN tc USING (k, gram) GROUP BY ALL),
+hits AS (SELECT rid, k, name, dice FROM scored WHERE dice >= {t} UNION ALL SELECT rid, k, name, CAST(2 * c AS DOUBLE) / (2 * ws.n) FROM ws JOIN tg USING (k) WHERE CAST(2 * c AS DOUBLE) / (2 * ws.n) >= {t}),
+byd AS (SELECT rid, arg_min(name, (-dice, k)) AS license, max(dice) AS dice, count(DISTINCT name) AS n_licenses, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM hits GROUP BY rid)
+SELECT ids.doc_id, byd.license, coalesce(byd.dice, 0.0) AS dice, coalesce(byd.n_licenses, 0) AS n_licenses, byd.licenses FROM ids LEFT JOIN byd USING (rid)"""
 
 
-def url_sql(damping: float = 0.85, rounds: int = 10, threshold: float = 1e-9) -> str:
-    """Rules by longest match; trust and distrust by the same number of rounds, each a common table expression."""
+def url_sql(damping: float = 0.85, steps: int = 57) -> str:
+    """Rules by longest match; trust and distrust as sums over paths of as many steps as the tolerance can ask for."""
 
     def host(url: str) -> str:
         return f"CASE WHEN strpos({url}, '://') > 0 THEN translate(regexp_extract(substr({url}, strpos({url}, '://') + 3), '^([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') ELSE '' END"
 
     path = "CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
     rules = ", ".join(f"({k}, '{r.verdict}', '{r.host}', '{r.path}', '{r.text}')" for k, r in enumerate(url_filter.RULES))
+    link = url_filter.LINK.replace("'", "''")
 
     def rank(name: str, seed: str, src: str, dst: str) -> str:
-        out = [f"flow_{name} AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS share FROM edges)", f"{name}_0 AS (SELECT host, {seed} AS rank FROM hosts)"]
-        for k in range(rounds):
-            came = f"(SELECT dst AS host, sum(rank * share) AS came FROM flow_{name} JOIN {name}_{k} ON host = src GROUP BY dst) c"
-            out.append(f"{name}_{k + 1} AS (SELECT host, {1 - damping} * {seed} + {damping} * coalesce(came, 0) AS rank FROM hosts LEFT JOIN {came} USING (host))")
-        return ",\n".join(out)
+        return f"""flow_{name} AS (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS share FROM edges),
+step_{name}(k, host, mass) AS (SELECT 0, host, 1.0::DOUBLE FROM seeds WHERE {seed} UNION ALL
+  SELECT k + 1, dst, {damping} * sum(mass * share) FROM step_{name} JOIN flow_{name} ON host = src WHERE k < {steps} GROUP BY k, dst),
+{name} AS (SELECT host, {1 - damping} * sum(mass) AS rank FROM step_{name} GROUP BY host)"""
 
     return f"""
-WITH rules(k, verdict, rhost, rpath, rule) AS (VALUES {rules}),
+WITH RECURSIVE rules(k, verdict, rhost, rpath, rule) AS (VALUES {rules}),
 own AS (SELECT row_number() OVER () AS rid, page_id, html, {host("url")} AS host, {path} AS path FROM pages),
 named AS (SELECT rid, page_id, html, coalesce(host, '') AS host, coalesce(path, '') AS path FROM own),
 fits AS (SELECT rid, rule, verdict FROM named JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
   QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(rule) DESC, k) = 1),
 judged AS (SELECT named.*, rule, verdict FROM named LEFT JOIN fits USING (rid)),
-links AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^"''\\s>]+)', 1)) AS url FROM judged WHERE host <> ''),
-each AS (SELECT src, {host("url")} AS dst FROM links),
+links AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS url FROM judged WHERE host <> ''),
+full_links AS (SELECT src, CASE WHEN starts_with(url, '//') THEN 'x:' || url ELSE url END AS url FROM links),
+each AS (SELECT src, {host("url")} AS dst FROM full_links),
 edges AS (SELECT src, dst, count(*) AS n FROM each WHERE dst <> '' AND dst <> src GROUP BY src, dst),
-seen AS (SELECT host, max(CASE WHEN verdict = 'allow' THEN 1 ELSE 0 END) AS a, max(CASE WHEN verdict = 'block' THEN 1 ELSE 0 END) AS b FROM judged WHERE host <> '' GROUP BY host
-  UNION ALL SELECT DISTINCT dst, 0, 0 FROM edges),
-seeds AS (SELECT host, max(a) * (1 - max(b)) AS a, max(b) AS b FROM seen GROUP BY host),
-hosts AS (SELECT host, CASE WHEN a > 0 THEN a / (SELECT sum(a) FROM seeds) ELSE 0 END AS trusted, CASE WHEN b > 0 THEN b / (SELECT sum(b) FROM seeds) ELSE 0 END AS blocked FROM seeds),
-{rank("trust", "trusted", "src", "dst")},
-{rank("distrust", "blocked", "dst", "src")},
-bad AS (SELECT d.host FROM distrust_{rounds} d JOIN trust_{rounds} t USING (host) WHERE d.rank >= {threshold} AND d.rank > t.rank)
+seeds AS (SELECT host, bool_or(verdict = 'block') AS b, bool_or(verdict = 'allow') AS a FROM judged WHERE host <> '' AND verdict IS NOT NULL GROUP BY host),
+{rank("trust", "a AND NOT b", "src", "dst")},
+{rank("distrust", "b", "dst", "src")},
+bad AS (SELECT d.host FROM distrust d LEFT JOIN trust t USING (host) WHERE d.rank > coalesce(t.rank, 0))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged"""
 
 

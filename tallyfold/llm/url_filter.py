@@ -2,10 +2,13 @@
 
 Trust is a personalised PageRank from trusted seed hosts along host links; distrust is one from blocked
 seed hosts along reversed links (a host that links to a blocked one is suspect).  Both run in Spark over
-the aggregated host edges; a host is blocked when its distrust reaches a threshold and exceeds its trust.
+the aggregated host edges.  Every seed begins with 1, whatever the number of seeds, so that a host's values depend on what links
+to it and from it alone; a host is blocked when its distrust exceeds ``ratio`` times its trust.  What seeds pass on is followed
+step by step until no host gets ``tolerance`` any more (after k steps none gets more than damping ** k of all seeds around it).
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule, is in no graph and
-is allowed.  Repeated rows are judged alike, empty tables give empty results, other columns are ignored.
+is allowed.  Null html has no links.  Repeated rows are judged alike (their links count again, ties of rules go to the first),
+empty tables give empty results, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +44,12 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
+#: A link to a host: with a scheme, or with that of its page.
+LINK = r"(?i)href\s*=\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
 #: Rules are compiled into one expression, so their number is bounded.
 MAX_RULES = 1000
+#: Steps that are always enough: at a damping of 0.85 less than 1e-14 of a seed is left.
+MAX_STEPS = 200
 
 
 def host_of(url: Column) -> Column:
@@ -72,42 +79,40 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 def host_edges(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
     """(src, dst, n): links between different hosts, counted.  Relative links stay on their host."""
-    links = F.regexp_extract_all(F.col(html), F.lit(r"(?i)href\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)"), F.lit(1))
+    links = F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1))
     each = pages.where(F.col(host) != "").select(F.col(host).alias("src"), F.explode(links).alias("url"))
-    each = each.select("src", host_of(F.col("url")).alias("dst"))
+    whole = F.when(F.col("url").startswith("//"), F.concat(F.lit("x:"), "url")).otherwise(F.col("url"))
+    each = each.select("src", host_of(whole).alias("dst"))
     return each.where((F.col("dst") != "") & (F.col("dst") != F.col("src"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def personalised_pagerank(hosts: DataFrame, edges: DataFrame, seed: str, damping: float, rounds: int, work: Workspace) -> DataFrame:
-    """(host, rank) after ``rounds`` steps of rank = (1-d) seed + d * what flows in over the edges.
+def personalised_pagerank(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, work: Workspace) -> DataFrame:
+    """(host, rank) of the hosts that a seed reaches: rank = (1-d) * (seed + d * flow(seed) + d^2 * flow(flow(seed)) + ...).
 
-    ``hosts`` has (host, ``seed``) with the share of each seed, ``edges`` (src, dst, n).  Mass at a host
-    without out-links is not spread, so ranks sum to 1 at most.  A round joins and aggregates by host;
-    sums are combined before the shuffle, and every fifth round is written to the shared folder.
+    ``seeds`` has (host, ``mass``), ``edges`` (src, dst, n); a host's mass flows over its edges in proportion to n, and
+    stays nowhere if it has none.  Each step joins and aggregates by host, combined before the shuffle, and is written to the
+    shared folder; one number a step comes to the driver.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    flow = edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
-    rank = hosts.select("host", F.col(seed).alias("rank"))
-    for k in range(rounds):
-        came = (
-            flow.join(rank.where("rank > 0").withColumnRenamed("host", "src"), "src")
-            .groupBy(F.col("dst").alias("host"))
-            .agg(F.sum(F.col("rank") * F.col("share")).alias("came"))
-        )
-        rank = hosts.join(came, "host", "left").select(
-            "host", ((1 - damping) * F.col(seed) + damping * F.coalesce(F.col("came"), F.lit(0.0))).alias("rank")
-        )
-        if k % 5 == 4:
-            rank = work.save(rank)
-    return rank
-
-
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 10, threshold: float = 1e-9) -> DataFrame:
+    flow = work.save(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
+    now = work.save(seeds.select("host", F.col("mass").cast("double").alias("mass")))
+    rank = now
+    for _ in range(MAX_STEPS):
+        step = flow.join(now.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host"))
+        now = work.save(step.agg((damping * F.sum(F.col("mass") * F.col("share"))).alias("mass")))
+        if not (most := now.agg(F.max("mass").alias("m")).first()["m"]):
+            break
+        rank = work.save(rank.unionByName(now).groupBy("host").agg(F.sum("mass").alias("mass")))
+        if most < tolerance:
+            break
+    return rank.groupBy("host").agg(((1 - damping) * F.sum("mass")).alias("rank"))
+
+
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, tolerance: float = 1e-4, ratio: float = 1.0) -> DataFrame:
     """Judge every page: page_id, host, path, rule, verdict, trust, distrust.
 
-    Seeds: hosts with a page that an allow (trusted) or block rule fits, each class sharing mass 1 equally; a
-    host with both is a blocked seed only.  A page without a rule takes its host's verdict: block when
-    distrust >= ``threshold`` and distrust > trust, else allow.
+    Seeds: hosts with a page that an allow (trusted) or block rule fits, 1 each; a host with both is a blocked seed only.
+    A page without a rule takes its host's verdict: block when distrust > ``ratio`` * trust, else allow.
     """
     pages = with_column_names(pages, "page_id", "url", "html")
     url = F.col("url")
@@ -115,31 +120,19 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: floa
     judged = judged.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     work = Workspace(pages.sparkSession, "urls")
     edges = work.save(host_edges(judged))
-    seen = judged.where("host <> ''").groupBy("host").agg(
-        F.max((F.col("hit.verdict") == "allow").cast("int")).alias("a"), F.max((F.col("hit.verdict") == "block").cast("int")).alias("b")
-    )
-    linked = edges.select(F.col("dst").alias("host")).distinct().select("host", F.lit(0).alias("a"), F.lit(0).alias("b"))
-    seeds = seen.unionByName(linked).groupBy("host").agg(F.coalesce(F.max("a"), F.lit(0)).alias("a"), F.coalesce(F.max("b"), F.lit(0)).alias("b"))
-    seeds = seeds.select("host", (F.col("a") * (1 - F.col("b"))).alias("a"), "b")
-    total = seeds.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    hosts = work.save(
-        seeds.join(F.broadcast(total)).select(  # one row
-            "host",
-            F.when(F.col("a") > 0, F.col("a") / F.col("ta")).otherwise(0.0).alias("trusted"),
-            F.when(F.col("b") > 0, F.col("b") / F.col("tb")).otherwise(0.0).alias("blocked"),
-        )
-    )
-    trust = personalised_pagerank(hosts, edges, "trusted", damping, rounds, work)
+    blocked, allowed = ((F.col("hit.verdict") == v).cast("int") for v in ("block", "allow"))
+    seeds = work.save(judged.where("host <> '' and hit is not null").groupBy("host").agg(F.max(blocked).alias("b"), F.max(allowed).alias("a")))
+    trust = personalised_pagerank(seeds.where("b = 0 and a = 1").select("host", F.lit(1.0).alias("mass")), edges, damping, tolerance, work)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = personalised_pagerank(hosts, back, "blocked", damping, rounds, work)
-    scores = work.save(trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host"))
-    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    distrust = personalised_pagerank(seeds.where("b = 1").select("host", F.lit(1.0).alias("mass")), back, damping, tolerance, work)
+    scores = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full")
+    scores = work.save(scores.select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust"))))
     return judged.drop("html").join(scores, "host", "left").select(
         "page_id",
         "host",
         "path",
         F.col("hit.rule").alias("rule"),
-        F.coalesce(F.col("hit.verdict"), F.when(bad, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce(F.col("hit.verdict"), F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")).alias("verdict"),
         F.coalesce(F.col("trust"), F.lit(0.0)).alias("trust"),
         F.coalesce(F.col("distrust"), F.lit(0.0)).alias("distrust"),
     )
