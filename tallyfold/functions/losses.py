@@ -39,6 +39,14 @@ def difference_gradient(y: Column, p: Column, rows: Column) -> Column:
     return (p - y) / rows
 
 
+def focal_gradient(y: Column, p: Column, rows: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:
+    """Slope of the focal loss in p; a target of 0 has the mirrored rule with weight 1 - alpha."""
+    q = _inside(p)
+    one = alpha * (gamma * F.pow(1 - q, F.lit(gamma - 1)) * F.ln(q) - F.pow(1 - q, F.lit(gamma)) / q)
+    zero = (1 - alpha) * (F.pow(q, F.lit(gamma)) / (1 - q) - gamma * F.pow(q, F.lit(gamma - 1)) * F.ln(1 - q))
+    return F.when(y > 0, one).otherwise(zero) / rows
+
+
 def focal(y: Column, p: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:
     q = _inside(p)
     return F.sum(F.when(y > 0, -alpha * F.pow(1 - q, F.lit(gamma)) * F.ln(q)).otherwise(0.0)) / F.count(F.lit(1))

@@ -12,7 +12,7 @@ from ..functions.scalars import EPSILON, safe_div
 from ..sources.matrices import to_coo
 
 Pair = Callable[[Column, Column], Column]
-ARITHMETIC: dict[str, Pair] = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": safe_div}
+ARITHMETIC: dict[str, Pair] = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: safe_div(a, b)}
 
 
 def elementwise(a: DataFrame, b: DataFrame, op: str | Pair) -> DataFrame:
@@ -51,6 +51,65 @@ def diagonal(cells: DataFrame) -> DataFrame:
     return cells.where("i = j").select("i", "value")
 
 
+def absolute(a: DataFrame) -> DataFrame:
+    return a.select("row_id", F.transform("values", F.abs).alias("values"))
+
+
+def fill(a: DataFrame, k: float = 0.0) -> DataFrame:
+    """Every cell k."""
+    return a.select("row_id", F.transform("values", lambda v: F.lit(float(k))).alias("values"))
+
+
+def cell(a: DataFrame, i: int, j: int) -> DataFrame:
+    """One row with the value at (i, j); a place outside the matrix raises."""
+    out = a.where(F.col("row_id") == i).agg(F.max(F.get("values", j)).alias("value"), F.max((F.size("values") > j) & F.lit(j >= 0)).alias("_in"))
+    return out.where(F.assert_true(F.coalesce("_in", F.lit(False)), "no such cell").isNull()).select("value")
+
+
+def set_cell(a: DataFrame, i: int, j: int, value: float) -> DataFrame:
+    """The matrix with one cell replaced; without a cell (i, j) it stays as it is."""
+    changed = F.transform("values", lambda v, k: F.when(k == j, F.lit(float(value))).otherwise(v))
+    return a.select("row_id", F.when(F.col("row_id") == i, changed).otherwise(F.col("values")).alias("values"))
+
+
+def set_column(a: DataFrame, j: int, column: DataFrame) -> DataFrame:
+    """Column j from (row_id, value); a row that only one side has raises."""
+    both = a.join(column.withColumnRenamed("value", "_value"), "row_id", "full")
+    same = F.assert_true(F.col("values").isNotNull() & F.col("_value").isNotNull(), "the column does not fit the rows")
+    return both.where(same.isNull()).select("row_id", F.transform("values", lambda v, k: F.when(k == j, F.col("_value")).otherwise(v)).alias("values"))
+
+
+def trace(a: DataFrame) -> DataFrame:
+    """One row: the sum of the diagonal of a square ARRAY matrix; another shape raises."""
+    s = a.agg(F.sum(F.get("values", F.col("row_id").cast("int"))).alias("trace"), F.count("*").alias("_n"), F.max(F.size("values")).alias("_m"))
+    return s.where(F.assert_true(F.col("_n") == F.col("_m"), "the matrix is not square").isNull()).select("trace")
+
+
+def flatten(cells: DataFrame, cols: int) -> DataFrame:
+    """COO cells as one row: row 0, columns i * cols + j."""
+    return cells.select(F.lit(0).cast("bigint").alias("i"), (F.col("i") * cols + F.col("j")).cast("bigint").alias("j"), "value")
+
+
+def with_radius(df: DataFrame, x: str, y: str, out: str = "radius") -> DataFrame:
+    """Adds sqrt(x * x + y * y)."""
+    return df.withColumn(out, F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y)))
+
+
+def pair_distances(points: DataFrame, label: str | None = None, blocks: int = 8) -> DataFrame:
+    """(label, pairs, mean, low, high) of the distances of all unordered pairs of ARRAY rows, within each label or of the whole.
+
+    Quadratic by nature: rows are dealt into blocks, a pair of blocks is one key, and sums are combined before the shuffle.
+    Labels of fewer than two rows have no row.
+    """
+    own = points.select("row_id", (F.col(label) if label else F.lit(0)).alias("label"), "values").withColumn("blk", F.pmod(F.xxhash64("row_id"), F.lit(blocks)))
+    every = F.array(*(F.lit(k).cast("bigint") for k in range(blocks)))
+    left = own.withColumn("other", F.explode(every))
+    right = own.select(F.col("row_id").alias("b"), "label", F.col("values").alias("w"), F.col("blk").alias("other")).withColumn("blk", F.explode(every))
+    d = F.sqrt(squared_distance(F.col("values"), F.col("w")))
+    pairs = left.join(right, ["label", "blk", "other"]).where("row_id < b").groupBy("label")
+    return pairs.agg(F.count("*").alias("pairs"), F.avg(d).alias("mean"), F.min(d).alias("low"), F.max(d).alias("high"))
+
+
 def set_row(a: DataFrame, i: int, values: list[float]) -> DataFrame:
     return a.select("row_id", F.when(F.col("row_id") == i, F.array(*(F.lit(float(v)) for v in values))).otherwise(F.col("values")).alias("values"))
 
@@ -125,6 +184,22 @@ def range_join(points: DataFrame, x: str, y: str, eps: float, key: str = "row_id
     return near.where(F.sqrt(d2) <= eps).select("a", "b")
 
 
+def range_join_wide(points: DataFrame, eps: float, grid: int = 3) -> DataFrame:
+    """(a, b) of all pairs of ARRAY rows (row_id, values) within ``eps``, each with itself too, in any number of dimensions.
+
+    Cells of the first ``grid`` dimensions are the join's keys, which leaves no pair out; the whole distance is checked.
+    """
+    width = points.select(F.max(F.size("values"))).first()[0] or 1
+    dims = range(min(grid, width))
+    cells = [F.floor(F.element_at("values", k + 1) / eps) for k in dims]
+    own = points.select(F.col("row_id").alias("a"), F.col("values").alias("v"), *(c.alias(f"c{k}") for k, c in zip(dims, cells)))
+    other = points.select(F.col("row_id").alias("b"), F.col("values").alias("w"), *(c.alias(f"c{k}") for k, c in zip(dims, cells)))
+    for k in dims:
+        other = other.withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"c{k}", F.col(f"c{k}") + F.col("_d")).drop("_d")
+    near = own.join(other, [f"c{k}" for k in dims])
+    return near.where(F.sqrt(squared_distance(F.col("v"), F.col("w"))) <= eps).select("a", "b")
+
+
 def lookup(tokens: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
     """Embedding of each token id; zeros for an unknown one."""
     zero = F.array_repeat(F.lit(0.0), width)
@@ -148,14 +223,30 @@ def gini(df: DataFrame, label: str) -> DataFrame:
     return n.agg(F.coalesce(1 - F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2)), F.lit(0.0)).alias("gini"))
 
 
-def row_ids(df: DataFrame, *order: str) -> DataFrame:
-    """row_id 0, 1, ... by ``order`` over the whole table: ranks within ranges of the first key, then shifted."""
+def ranged(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``_part``: the number of a range of a numeric column, with about as many rows as any other."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(df.select(F.percentile_approx(order[0], [k / n for k in range(1, n)] or [0.5], 1000)).first()[0] or []))
+    bounds = sorted(set(df.select(F.percentile_approx(column, [k / n for k in range(1, n)] or [0.5], 1000)).first()[0] or []))
     part = F.lit(0)
     for k, b in enumerate(bounds):
-        part = F.when(F.col(order[0]) > F.lit(b), k + 1).otherwise(part)
-    dealt = df.withColumn("_part", part)
+        part = F.when(F.col(column) > F.lit(b), k + 1).otherwise(part)
+    return df.withColumn("_part", part)
+
+
+def sums_above(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """Adds ``above_<column>``: the sum over rows with a larger ``order`` (distinct numbers).  Ranges are summed apart, then shifted."""
+    dealt = ranged(df, order)
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(*(F.sum(c).alias(f"_s_{c}") for c in columns))
+    parts = parts.select("_part", *(F.coalesce(F.sum(f"_s_{c}").over(later), F.lit(0)).alias(f"_before_{c}") for c in columns))  # a row a range
+    own = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumns({f"_own_{c}": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in columns}).join(F.broadcast(parts), "_part")
+    return out.select(*df.columns, *((F.col(f"_own_{c}") + F.col(f"_before_{c}")).alias(f"above_{c}") for c in columns))
+
+
+def row_ids(df: DataFrame, *order: str) -> DataFrame:
+    """row_id 0, 1, ... by ``order`` over the whole table: ranks within ranges of the first key, then shifted."""
+    dealt = ranged(df, order[0])
     shift = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = shift.select("_part", before.alias("_before"))  # a row a range

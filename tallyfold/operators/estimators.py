@@ -7,8 +7,9 @@ matrix, gradients) come to the driver, where numpy solves what is left.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid
-from .arrays import arg_best, range_join
+from .arrays import arg_best, range_join_wide, row_ids
+from .metrics import accuracy, calinski_harabasz, regression, silhouette
 from .stats import require
+from .tables import written
+
+#: Columns up to which a Gram matrix is one native aggregate.
+WIDE = 12
+#: Rounds in which the clusters of any table at hand settle.
+MAX_ROUNDS = 100
 
 
 def vector(columns: list[str] | tuple[str, ...]) -> Column:
@@ -52,6 +60,7 @@ class KMeans:
     tol: float = 1e-4
     init: str = "kmeans++"
     seed: int = 42
+    #: Centres to start from, instead of ``init``; those of the fit afterwards.
     centres: list[list[float]] = field(default_factory=list)
     inertia: float = math.nan
     n_iter: int = 0
@@ -72,7 +81,7 @@ class KMeans:
         return out
 
     def fit(self, df: DataFrame, columns: list[str]) -> KMeans:
-        self.centres, before = self._start(df, columns), math.inf
+        self.centres, before = self.centres or self._start(df, columns), math.inf
         require(len(self.centres) == self.k, "fewer distinct rows than clusters")
         for self.n_iter in range(1, self.max_iter + 1):
             rows = {r["cluster"]: r for r in lloyd_step(df, columns, self.centres).collect()}  # k rows
@@ -95,32 +104,29 @@ def elbow(df: DataFrame, columns: list[str], ks: list[int]) -> tuple[int, dict[i
     return (max(falls, key=falls.get) if falls else ks[0]), found
 
 
-def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_samples: int) -> DataFrame:
-    """(key, label, is_core) in two dimensions; clusters numbered by their smallest core key, noise -1.
+def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_samples: int) -> DataFrame:
+    """(key, label, is_core) in any number of dimensions; clusters numbered by their smallest core key, noise -1.
 
-    Neighbours come from the grid join.  Core rows of a component take its smallest key by repeated minima
-    (label propagation with pointer jumps); a border row takes the smallest cluster of its core neighbours.
+    Neighbours come from a grid join.  Core rows of a component take its smallest key by repeated minima with pointer
+    jumps, so rounds grow with the logarithm of the longest chain; each is written once to the shared folder.
+    A border row takes the smallest cluster of its core neighbours.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyfold-"))
-    near = range_join(df, x, y, eps, key).checkpoint()
-    core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("a")
-    links = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b").checkpoint()
+    points = df.select(F.col(key).alias("row_id"), vector(columns).alias("values"))
+    near = written(range_join_wide(points, eps))
+    core = written(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("a"))
+    links = written(near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b"))
     label = core.select("a", F.col("a").alias("root"))
-    while True:
-        least = links.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("root"))
+    for _ in range(MAX_ROUNDS):
+        least = written(links.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("root")))
         jump = least.join(least.select(F.col("a").alias("root"), F.col("root").alias("up")), "root", "left")
-        after = jump.select("a", F.least("root", F.coalesce("up", "root")).alias("root")).checkpoint()
-        moved = after.join(label.withColumnRenamed("root", "old"), "a").where("root <> old").limit(1).count()
+        after = written(jump.select("a", F.least("root", F.coalesce("up", "root")).alias("root")))
+        moved = after.join(label.withColumnRenamed("root", "old"), "a").where("root <> old").take(1)
         label = after
         if not moved:
             break
+    else:
+        raise RuntimeError(f"clusters did not settle in {MAX_ROUNDS} rounds")
     roots = label.select("root").distinct()
-    from .arrays import row_ids
-
     numbered = row_ids(roots.withColumnRenamed("root", "r"), "r").select(F.col("r").alias("root"), F.col("row_id").alias("label")) if roots.take(1) else roots.withColumn("label", F.lit(0).cast("bigint"))
     cores = label.join(numbered, "root").select("a", "label")
     border = near.join(cores.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("_border"))
@@ -128,8 +134,54 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_samples: int
     return out.select(F.col("a").alias(key), F.coalesce("label", "_border", F.lit(-1)).cast("bigint").alias("label"), F.col("label").isNotNull().alias("is_core"))
 
 
+def dbscan_predict(df: DataFrame, key: str) -> DataFrame:
+    """Density clusters say nothing of new rows: -1 each."""
+    return df.select(key, F.lit(-1).cast("bigint").alias("label"))
+
+
+def dbscan_counts(clusters: DataFrame) -> DataFrame:
+    """One row: clusters, noise rows, core rows of ``dbscan``'s result."""
+    return clusters.agg(
+        F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_clusters"), F.count_if(F.col("label") < 0).alias("n_noise"), F.count_if("is_core").alias("n_core")
+    )
+
+
+def compare_k(df: DataFrame, key: str, columns: list[str], ks: list[int], **options) -> list[dict]:
+    """For each k: inertia, iterations, silhouette and Calinski-Harabasz; -999 where a score has fewer than two clusters."""
+    out = []
+    for k in ks:
+        m = KMeans(k, **options).fit(df, columns)
+        found = written(m.predict(df).select(key, *columns, "cluster"))
+        two = found.select("cluster").distinct().limit(2).count() == 2
+        scores = [f(found).first()[0] if two else -999.0 for f in (lambda t: silhouette(t, key, columns, "cluster"), lambda t: calinski_harabasz(t, columns, "cluster"))]
+        out.append({"k": k, "inertia": m.inertia, "n_iter": m.n_iter, "silhouette": scores[0], "calinski_harabasz": scores[1]})
+    return out
+
+
+def column_sums(df: DataFrame, columns: list[str], f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all rows of the vector that ``f`` gives for a block of them; partial sums meet in an aggregate by place."""
+
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in blocks:
+            one = f(b[columns].to_numpy(float))
+            total = one if total is None else total + one
+        if total is not None:
+            yield pd.DataFrame({"g": [total]})
+
+    rows = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
+    parts = rows.mapInPandas(run, "g array<double>").select(F.posexplode("g").alias("k", "v"))
+    found = {r["k"]: r["s"] for r in parts.groupBy("k").agg(F.sum("v").alias("s")).collect()}  # as many as the vector has places
+    return np.array([found[k] for k in range(len(found))])
+
+
 def gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """(rows, column sums, sums of products) by one aggregate of p (p + 1) / 2 sums."""
+    p = len(columns)
+    if p > WIDE:  # so many sums would be more generated code than Java takes
+        found = column_sums(df, columns, lambda x: np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]))
+        found = found if len(found) else np.zeros(1 + p + p * p)
+        return int(found[0]), found[1 : p + 1], found[p + 1 :].reshape(p, p)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     r = df.agg(F.count("*"), *(F.sum(F.col(c).cast("double")) for c in columns), *(F.sum(F.col(columns[i]).cast("double") * F.col(columns[j])) for i, j in pairs)).first()
     p = len(columns)
@@ -210,10 +262,28 @@ class LinearRegression:
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         return df.withColumn(out, sum((F.col(c) * w for c, w in zip(self.columns, self.weights, strict=True)), F.lit(self.intercept)))
 
+    def score(self, df: DataFrame, target: str) -> DataFrame:
+        """One row: R2."""
+        return regression(self.predict(df, "_p"), target, "_p").select("r2")
+
+
+def block_gradient(weights: np.ndarray, classes: list[int], block: np.ndarray) -> np.ndarray:
+    """Rows, summed loss and summed gradient of a block whose last column is the class."""
+    x, y = np.column_stack([np.ones(len(block)), block[:, :-1]]), block[:, -1]
+    z = x @ weights.T
+    if len(classes) == 2:
+        p, t = 1 / (1 + np.exp(-np.clip(z, -250, 250))), (y == classes[1])[:, None].astype(float)
+    else:
+        e = np.exp(z - z.max(1, keepdims=True))
+        p, t = e / e.sum(1, keepdims=True), (y[:, None] == np.array(classes)).astype(float)
+    q = np.clip(p, 1e-15, 1 - 1e-15)
+    loss = -(t * np.log(q)).sum() - (((1 - t) * np.log(1 - q)).sum() if len(classes) == 2 else 0.0)
+    return np.concatenate([[len(block), loss], ((p - t).T @ x).ravel()])
+
 
 @dataclass
 class LogisticRegression:
-    """Full-batch gradient descent: sigmoid for two classes, softmax beyond; a step is one aggregate of the gradient."""
+    """Full-batch gradient descent: sigmoid for two classes, softmax beyond; a step is one pass of partial gradients in numpy blocks."""
 
     rate: float = 0.01
     max_iter: int = 1000
@@ -237,19 +307,16 @@ class LogisticRegression:
         require(1 < len(self.classes) <= 1000, "from 2 to 1000 classes")
         learned = self.classes[1:] if len(self.classes) == 2 else self.classes
         self.weights, before = np.zeros((len(learned), len(columns) + 1)), math.inf
+        table = written(df.select(*columns, F.col(target).cast("int").alias("_target"))) if self.max_iter > 1 else df.withColumn("_target", F.col(target).cast("int"))
         for _ in range(self.max_iter):
-            p = self.probabilities()[-len(learned) :]
-            y = [(F.col(target).cast("int") == c).cast("double") for c in learned]
-            grads = [F.avg((q - t) * (F.lit(1.0) if j < 0 else F.col(columns[j]))) for q, t in zip(p, y, strict=True) for j in range(-1, len(columns))]
-            inside = lambda q: F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), q))
-            cells = [-t * F.ln(inside(q)) - ((1 - t) * F.ln(1 - inside(q)) if len(self.classes) == 2 else 0.0) for q, t in zip(p, y, strict=True)]
-            r = df.agg(F.avg(sum(cells[1:], cells[0])), *grads).first()
-            slope = np.array(r[1:]).reshape(self.weights.shape)
+            found = column_sums(table, [*columns, "_target"], partial(block_gradient, self.weights, self.classes))
+            loss, slope = found[1] / found[0], (found[2:] / found[0]).reshape(self.weights.shape)
+            self.loss = loss + 0.5 * self.l2 * float((self.weights[:, 1:] ** 2).sum())
             slope[:, 1:] += self.l2 * self.weights[:, 1:]
             self.weights = self.weights - self.rate * slope
-            if abs(before - r[0]) < self.tol:
+            if abs(before - self.loss) < self.tol:
                 break
-            before = r[0]
+            before = self.loss
         return self
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
@@ -258,6 +325,10 @@ class LogisticRegression:
             return df.withColumn(out, F.when(p[1] >= 0.5, self.classes[1]).otherwise(self.classes[0]))
         return df.withColumn(out, F.get(F.array(*map(F.lit, self.classes)), arg_best(F.array(*p), F.array_max)))
 
+    def score(self, df: DataFrame, target: str) -> DataFrame:
+        """One row: accuracy."""
+        return accuracy(self.predict(df, "_p"), target, "_p")
+
 
 def gini_of(y: np.ndarray) -> float:
     _, n = np.unique(y, return_counts=True)
@@ -354,3 +425,24 @@ class RandomForest:
                 yield pdf.assign(**{out: [int(c[n.argmax()]) for c, n in best]})
 
         return df.mapInPandas(run, f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, `{out}` int")
+
+    def probabilities(self, df: DataFrame, out: str = "p") -> DataFrame:
+        """Adds the share of the trees' votes for each class that a tree names, as ``p_<class>``."""
+        held, columns = df.sparkSession.sparkContext.broadcast(self.trees), self.columns
+        classes = sorted({c for t in self.trees for c in leaves(t)})
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                votes = np.stack([vote(t, pdf[columns].to_numpy(float)) for t in held.value], axis=1)
+                yield pdf.assign(**{f"{out}_{c}": (votes == c).mean(1) for c in classes})
+
+        return df.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{out}_{c}` double" for c in classes)]))
+
+    def score(self, df: DataFrame, target: str) -> DataFrame:
+        """One row: accuracy."""
+        return accuracy(self.predict(df.select(*self.columns, target), "_p"), target, "_p")
+
+
+def leaves(tree) -> list[int]:
+    """Classes of a tree's leaves."""
+    return [c for t in tree[2:] for c in leaves(t)] if isinstance(tree, tuple) else [tree]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import EPSILON
+from .arrays import sums_above
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -56,25 +56,26 @@ def headline(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def roc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """(threshold, tpr, fpr): the origin with threshold infinity, then a point a distinct score, descending.
 
-    Rows are summed by score first, so the running sums see distinct scores only.
+    Rows are summed by score first, and distinct scores are summed within ranges, so no task has them all.  A rate of a class
+    that does not occur is 0.
     """
     by = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.sum((F.col(truth).cast("int") == 1).cast("bigint")).alias("p"), F.sum((F.col(truth).cast("int") != 1).cast("bigint")).alias("q")
     )
     total = by.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
-    run = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    points = by.select("threshold", F.sum("p").over(run).alias("cp"), F.sum("q").over(run).alias("cq")).join(F.broadcast(total))
-    points = points.select("threshold", (F.col("cp") / F.col("tp")).alias("tpr"), (F.col("cq") / F.col("tq")).alias("fpr"))
+    points = sums_above(by, "threshold", ["p", "q"]).join(F.broadcast(total))
+    tpr, fpr = ratio(F.col("above_p") + F.col("p"), F.col("tp")), ratio(F.col("above_q") + F.col("q"), F.col("tq"))
+    points = points.select("threshold", tpr.alias("tpr"), fpr.alias("fpr"))
     return df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr")).unionByName(points)
 
 
 def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the ROC curve by ranks: each score's negatives under the positives above and half of its own."""
+    """Area under the ROC curve by ranks: each score's negatives under the positives above and half of its own; 0 of one class."""
     by = df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum((F.col(truth).cast("int") == 1).cast("bigint")).alias("p"), F.sum((F.col(truth).cast("int") != 1).cast("bigint")).alias("q")
     )
-    above = F.coalesce(F.sum("p").over(Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.select("p", "q", above.alias("a")).agg((F.sum(F.col("q") * (F.col("a") + F.col("p") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
+    won = F.sum(F.col("q") * (F.col("above_p") + F.col("p") / 2))
+    return sums_above(by, "s", ["p"]).agg(F.coalesce(ratio(won, F.sum("p") * F.sum("q")), F.lit(0.0)).alias("auc"))
 
 
 def regression(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -114,7 +115,7 @@ def inertia(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 
 
 def calinski_harabasz(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """(between / (k - 1)) / (within / (n - k)); n counts noise rows too; within 0 gives infinity."""
+    """(between / (k - 1)) / (within / (n - k)); n counts noise rows too; within 0 gives infinity, one cluster or one row a cluster 0."""
     m = df.where(F.col(label) >= 0).groupBy(label).agg(
         F.count("*").alias("c"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(columns)), *((F.var_pop(x) * F.count(x)).alias(f"v{i}") for i, x in enumerate(columns))
     )
@@ -125,8 +126,9 @@ def calinski_harabasz(df: DataFrame, columns: list[str], label: str) -> DataFram
     s = m.join(F.broadcast(centre)).agg(
         F.sum(F.col("c") * sum(d[1:], d[0])).alias("b"), sum((F.sum(f"v{i}") for i in k[1:]), F.sum("v0")).alias("w"), F.count("*").alias("k")
     )
-    score = (F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))
-    return s.join(F.broadcast(n)).select(F.when(F.col("w") == 0, F.lit(float("inf"))).otherwise(score).alias("calinski_harabasz"))
+    score = (F.col("b") / F.nullif(F.col("k") - 1, F.lit(0))) / F.nullif(F.col("w") / F.nullif(F.col("n") - F.col("k"), F.lit(0)), F.lit(0.0))
+    undefined = F.when((F.col("k") < 2) | (F.col("n") <= F.col("k")), F.lit(0.0)).when(F.col("w") == 0, F.lit(float("inf")))
+    return s.join(F.broadcast(n)).select(undefined.otherwise(score).alias("calinski_harabasz"))
 
 
 def davies_bouldin(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -142,18 +144,20 @@ def davies_bouldin(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return worst.agg(F.avg("r").alias("davies_bouldin"))
 
 
-def silhouette(df: DataFrame, key: str, columns: list[str], label: str, blocks: int = 8) -> DataFrame:
+def silhouette(df: DataFrame, key: str, columns: list[str], label: str, blocks: int | None = None) -> DataFrame:
     """One row: the mean of (b - a) / max(a, b) over the rows of clusters; a singleton has a = 0.
 
-    Exact Euclidean means need every distance.  The rows are dealt into blocks, each row meets every block of
-    points once, and a task holds one block pair; sums are combined before the shuffle.
+    Exact Euclidean means need every distance.  The rows are dealt into blocks of about 2,000; a pair of blocks is one key, so
+    a task holds block pairs, and sums are combined before the shuffle.
     """
+    blocks = blocks or max(2, -(-df.count() // 2000))
     own = df.where(F.col(label) >= 0).select(F.col(key).alias("key"), F.col(label).alias("label"), F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
     own = own.withColumn("blk", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    left = own.withColumn("other", F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(blocks)))))
-    right = own.select(F.col("blk").alias("other"), F.col("key").alias("key2"), F.col("label").alias("label2"), F.col("v").alias("w"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
+    left = own.withColumn("other", F.explode(every))
+    right = own.select(F.col("blk").alias("other"), F.col("key").alias("key2"), F.col("label").alias("label2"), F.col("v").alias("w")).withColumn("blk", F.explode(every))
     d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
-    sums = left.join(right, "other").groupBy("key", "label", "label2").agg(F.sum(d).alias("s"), F.count("*").alias("n"))
+    sums = left.join(right, ["blk", "other"]).groupBy("key", "label", "label2").agg(F.sum(d).alias("s"), F.count("*").alias("n"))
     same = F.col("label") == F.col("label2")
     a = F.max(F.when(same, F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise(0.0)))
     each = sums.groupBy("key").agg(a.alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))
@@ -161,6 +165,72 @@ def silhouette(df: DataFrame, key: str, columns: list[str], label: str, blocks:
     return each.agg(F.avg(F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)).alias("silhouette"))
 
 
+def accuracy(df: DataFrame, truth: str, predicted: str, eps: float = EPSILON) -> DataFrame:
+    """Share of rows whose values agree within eps; 0 of no rows."""
+    return df.agg(F.coalesce(F.avg((F.abs(F.col(truth).cast("double") - F.col(predicted)) < eps).cast("double")), F.lit(0.0)).alias("accuracy"))
+
+
+def for_class(df: DataFrame, truth: str, predicted: str, positive: float, eps: float = 1e-10) -> DataFrame:
+    """One row for an explicit positive class: tp, fp, fn, tn, accuracy, precision, recall, f1; undefined is 0."""
+    t, p = F.abs(F.col(truth).cast("double") - positive) < eps, F.abs(F.col(predicted).cast("double") - positive) < eps
+    c = df.agg(*(F.count_if(x).alias(n) for n, x in (("tp", t & p), ("fp", ~t & p), ("fn", t & ~p), ("tn", ~t & ~p))), accuracy_of(truth, predicted, eps).alias("accuracy"))
+    c = c.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
+    return c.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def accuracy_of(truth: str, predicted: str, eps: float) -> Column:
+    return F.coalesce(F.avg((F.abs(F.col(truth).cast("double") - F.col(predicted)) < eps).cast("double")), F.lit(0.0))
+
+
+def training_accuracy(df: DataFrame, truth: Column, outputs: list[Column]) -> DataFrame:
+    """One output: at 0.5; several: the first largest, against the class number."""
+    if len(outputs) == 1:
+        hit = (outputs[0] >= 0.5).cast("int") == (truth >= 0.5).cast("int")
+    else:
+        all_ = F.array(*outputs)
+        hit = F.array_position(all_, F.array_max(all_)) - 1 == truth
+    return df.agg(F.coalesce(F.avg(hit.cast("double")), F.lit(0.0)).alias("accuracy"))
+
+
+def binary_check(df: DataFrame, truth: str) -> DataFrame:
+    """One row: whether there are exactly two classes."""
+    return df.agg((F.count_distinct(F.col(truth).cast("int")) == 2).alias("is_binary"))
+
+
+def with_probability(df: DataFrame, truth: str, predicted: str, score: str) -> DataFrame:
+    """The headline metrics, and the area under the ROC curve where there are exactly two classes (else null)."""
+    out = headline(df, truth, predicted).join(F.broadcast(auc(df, truth, score))).join(F.broadcast(binary_check(df, truth)))
+    return out.withColumn("auc", F.when(F.col("is_binary"), F.col("auc"))).drop("is_binary")
+
+
+def regression_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """One row: the regression metrics, the residuals' spread, the rows."""
+    rows = df.agg(F.count("*").alias("n_rows"))
+    return regression(df, truth, predicted).join(F.broadcast(residuals(df, truth, predicted))).join(F.broadcast(rows))
+
+
+def centred_explained_variance(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """1 - var(truth - predicted) / var(truth); 1 where the truth does not vary."""
+    d = F.col(truth).cast("double") - F.col(predicted)
+    out = df.agg(F.var_pop(d).alias("_d"), F.var_pop(F.col(truth).cast("double")).alias("_t"))
+    return out.select(F.when(F.col("_t") == 0, 1.0).otherwise(1 - F.col("_d") / F.nullif("_t", F.lit(0.0))).alias("explained_variance"))
+
+
+def fold_summary(df: DataFrame, score: str) -> DataFrame:
+    """One row of given fold scores: n, mean, population std, low, high."""
+    s = F.col(score)
+    return df.agg(F.count(s).alias("n"), F.coalesce(F.avg(s), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_pop(s), F.lit(0.0)).alias("std"), F.min(s).alias("low"), F.max(s).alias("high"))
+
+
+def calinski_band(score: float) -> str:
+    return "strong" if score > 100 else "reasonable" if score > 50 else "weak" if score > 20 else "very weak"
+
+
+def davies_band(score: float) -> str:
+    """Lower is better."""
+    return "excellent" if score < 0.5 else "good" if score < 1.0 else "fair" if score < 2.0 else "poor"
+
+
 def band(score: float) -> str:
     """How strong a silhouette is."""
     return "strong" if score > 0.7 else "reasonable" if score > 0.5 else "weak" if score > 0.25 else "very weak"

@@ -126,32 +126,128 @@ def _ordered(df: DataFrame, key: str, seed: int | None) -> list[Column]:
     return [F.col(key)] if seed is None else [F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))), F.col(key)]
 
 
+def hashed_rank(df: DataFrame, key: str, seed: int, *by: str) -> DataFrame:
+    """Adds ``_k``: 1, 2, ... in the order of the md5 of seed and key, within the values of ``by``.
+
+    Rows are ranked in 4096 buckets by the hash's first digits and shifted by the counts of those before: no task has a whole class.
+    """
+    order = _ordered(df, key, seed)
+    dealt = df.withColumn("_bucket", F.substring(order[0], 1, 3))
+    sizes = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))  # 4096 rows a class
+    own = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
+    same = F.col("_bucket") == F.col("_b")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return dealt.withColumn("_own", own).join(sizes, same).withColumn("_k", F.col("_own") + F.col("_before")).select(*df.columns, "_k")
+
+
 def split(df: DataFrame, key: str, size: float, seed: int | None = None) -> DataFrame:
-    """Adds ``is_test``: the last share by key, or with a seed by the md5 of seed and key (both engines agree).
+    """Adds ``is_test``: the last share by key (a number), or with a seed by the md5 of seed and key (both engines agree).
 
-    The cut is found by one exact percentile rank on the order, through ranks within hash groups; see row_ids.
+    Rows are ranked within ranges of the key, or buckets of the hash, and shifted; no task and no driver has the whole order.
     """
+    from .arrays import row_ids
+
     require(0 < size < 1, "size must be inside (0, 1)")
     n = df.count()
+    require(n > 1, "a split needs two rows")
     k = min(n - 1, max(1, int(n * size) if seed is None else round(n * size)))
-    order = _ordered(df, key, seed)
-    # the n - k smallest are train: the k largest keys form a bounded sort by Spark, not a window over one task
-    cut = df.select(*(c.alias(f"o{i}") for i, c in enumerate(order))).orderBy(*(F.desc(f"o{i}") for i in range(len(order)))).offset(k - 1).limit(1)
-    at = cut.first()
-    test = order[0] > F.lit(at[0]) if len(order) == 2 else order[0] >= F.lit(at[0])
-    if len(order) == 2:
-        test = test | ((order[0] == F.lit(at[0])) & (order[1] >= F.lit(at[1])))
-    return df.withColumn("is_test", test)
+    if seed is None:
+        return row_ids(df, key).withColumn("is_test", F.col("row_id") >= n - k).drop("row_id")
+    return hashed_rank(df, key, seed).withColumn("is_test", F.col("_k") > n - k).drop("_k")
+
+
+def head_split(df: DataFrame, key: str, size: float, seed: int = 42) -> DataFrame:
+    """Adds ``is_test``: the first int(n * size) rows in the hashed order (the older rule: truncated, and the head)."""
+    k = int(df.count() * size)
+    return hashed_rank(df, key, seed).withColumn("is_test", F.col("_k") <= k).drop("_k")
 
 
 def stratified(df: DataFrame, key: str, label: str, size: float, seed: int = 42) -> DataFrame:
     """Adds ``is_test``: of each class round(n * size) rows, at least 1 and at most n - 1; a class of one row raises."""
-    order = Window.partitionBy(label).orderBy(*_ordered(df, key, seed))
     n = df.groupBy(label).agg(F.count("*").alias("_n"))
     n = n.where(F.assert_true(F.col("_n") > 1, "a class has one row").isNull())
     test = F.least(F.greatest(F.round(F.col("_n") * size), F.lit(1.0)), F.col("_n") - 1)
-    ranked = df.withColumn("_k", F.row_number().over(order)).join(n, label)
-    return ranked.withColumn("is_test", F.col("_k") <= test).drop("_k", "_n")
+    return hashed_rank(df, key, seed, label).join(n, label).withColumn("is_test", F.col("_k") <= test).drop("_k", "_n")
+
+
+@dataclass(frozen=True)
+class SplitOptions:
+    """How to split: ``test_size`` or ``train_size`` (which leaves the rest to the test part), shuffled by seed, by class."""
+
+    test_size: float = 0.2
+    train_size: float | None = None
+    shuffle: bool = True
+    stratify: str | None = None
+    seed: int = 42
+
+    def check(self, rows: int) -> float:
+        """The test share; sizes outside (0, 1), and fewer than 2 rows (4 by class), raise."""
+        size = self.test_size if self.train_size is None else 1 - self.train_size
+        require(0 < size < 1, "the parts must both have a share")
+        require(rows >= (4 if self.stratify else 2), f"{rows} rows can't be split")
+        return size
+
+
+def train_test_split(df: DataFrame, key: str, options: SplitOptions = SplitOptions()) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by the options."""
+    size = options.check(df.limit(4).count())
+    if options.stratify:
+        out = stratified(df, key, options.stratify, size, options.seed)
+    else:
+        out = split(df, key, size, options.seed if options.shuffle else None)
+    return out.where(~F.col("is_test")).drop("is_test"), out.where("is_test").drop("is_test")
+
+
+def normalised(df: DataFrame, columns: list[str], mean: list[float], std: list[float]) -> DataFrame:
+    """(x - mean) / std with given numbers; columns past them stay; a std of 0 gives null."""
+    return df.withColumns({c: F.try_divide(F.col(c) - m, F.lit(float(s))) for c, m, s in zip(columns, mean, std)})
+
+
+def one_hot_all(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[OneHotEncoder]]:
+    """A 0/1 column a class of each column; unknown classes give zeros."""
+    fitted = [OneHotEncoder.fit(df, c) for c in columns]
+    for m in fitted:
+        df = m.transform(df, strict=False)
+    return df, fitted
+
+
+def shuffled_batches(df: DataFrame, key: str, size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """Adds ``batch``: ``size`` rows each in the hashed order of seed and epoch, the last may be short."""
+    require(size > 0, "size must be positive")
+    return hashed_rank(df, key, seed + epoch).withColumn("batch", F.floor((F.col("_k") - 1) / size)).drop("_k")
+
+
+@dataclass
+class Loader:
+    """Batches of a table, epoch by epoch; ``next_epoch`` deals anew if it shuffles.  Spark's tasks fetch ahead by themselves."""
+
+    df: DataFrame
+    key: str
+    size: int
+    shuffle: bool = True
+    seed: int = 42
+    epoch: int = 0
+
+    def __post_init__(self) -> None:
+        self.dealt = shuffled_batches(self.df, self.key, self.size, self.seed, self.epoch) if self.shuffle else batches(self.df, self.key, self.size)
+
+    def __len__(self) -> int:
+        return -(-self.df.count() // self.size)
+
+    def batch(self, k: int) -> DataFrame:
+        return self.dealt.where(F.col("batch") == k).drop("batch")
+
+    def __iter__(self):
+        return map(self.batch, range(len(self)))
+
+    def item(self, key) -> DataFrame:
+        return self.df.where(F.col(self.key) == key)
+
+    def next_epoch(self) -> Loader:
+        return Loader(self.df, self.key, self.size, self.shuffle, self.seed, self.epoch + 1)
 
 
 def three_way(df: DataFrame, key: str, test: float, val: float, seed: int = 42) -> DataFrame:

@@ -35,10 +35,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import coverage  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import coverage  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -90,11 +94,13 @@ def standard_scale(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prep.standard_scaled(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"]))
 
 
-@query("""SELECT l_orderkey, round(l_quantity, 4) AS l_quantity, round(l_extendedprice, 4) AS l_extendedprice, round(l_discount, 4) AS l_discount FROM lineitem""")
+@query(f"""SELECT l_orderkey, l_linenumber, {", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 4) AS z_{c}, round({c}, 4) AS {c}" for c in LINE)} FROM lineitem""")
 def standard_scale_inverse(spark: SparkSession, d: str) -> DataFrame:
-    df = t(spark, d, "lineitem").select("l_orderkey", *LINE)
+    """Scaled values beside those that the inverse gives back."""
+    df = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *LINE)
     m = prep.StandardScaler.fit(df, LINE)
-    return rounded(m.inverse(m.transform(df)), 4)
+    scaled = m.transform(df).withColumns({f"z_{c}": F.col(c) for c in LINE})
+    return rounded(m.inverse(scaled), 4)
 
 
 @query("""SELECT o_orderkey, round((o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()) * 2 - 1, 6) AS o_totalprice FROM orders""")
@@ -103,11 +109,12 @@ def minmax_scale(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prep.MinMaxScaler.fit(df, ["o_totalprice"], -1.0, 1.0).transform(df))
 
 
-@query("SELECT c_custkey, round(c_acctbal, 4) AS c_acctbal FROM customer")
+@query("SELECT c_custkey, round((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()), 6) AS share, round(c_acctbal, 4) AS c_acctbal FROM customer")
 def minmax_scale_inverse(spark: SparkSession, d: str) -> DataFrame:
+    """Scaled values beside those that the inverse gives back."""
     df = t(spark, d, "customer").select("c_custkey", "c_acctbal")
     m = prep.MinMaxScaler.fit(df, ["c_acctbal"])
-    return rounded(m.inverse(m.transform(df)), 4)
+    return m.inverse(m.transform(df).withColumn("share", r("c_acctbal"))).withColumn("c_acctbal", r("c_acctbal", 4))
 
 
 @query("""SELECT o_orderkey, o_orderstatus, CAST(o_orderstatus = 'F' AS DOUBLE) AS "o_orderstatus_F", CAST(o_orderstatus = 'O' AS DOUBLE) AS "o_orderstatus_O",
@@ -123,11 +130,11 @@ def label_encode(spark: SparkSession, d: str) -> DataFrame:
     return prep.LabelEncoder.fit(df, "o_orderpriority").transform(df)
 
 
-@query("SELECT o_orderkey, o_orderpriority AS value FROM orders")
+@query("SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS code, o_orderpriority AS value FROM orders")
 def label_decode(spark: SparkSession, d: str) -> DataFrame:
     df = t(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     m = prep.LabelEncoder.fit(df, "o_orderpriority")
-    return m.inverse(m.transform(df), "code").select("o_orderkey", "value")
+    return m.inverse(m.transform(df), "code").select("o_orderkey", "code", "value")
 
 
 @query("SELECT vec_id, [CAST(label = i AS DOUBLE) for i in range(10)] AS hot FROM embeddings")
@@ -217,7 +224,13 @@ def frobenius_norm(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.frobenius(t(spark, d, "lineitem"), ["l_quantity", "l_discount"]), 4)
 
 
-@query("SELECT 'constant' AS finding, 'one' AS feature, CAST(NULL AS VARCHAR) AS other UNION ALL SELECT 'correlated', 'l_quantity', 'twice'")
+QUALITY = ["l_quantity", "l_discount", "twice", "one"]
+
+
+@query("WITH q AS (SELECT l_quantity, l_discount, l_quantity * 2 AS twice, 1.0::DOUBLE AS one FROM lineitem) "
+       + " UNION ALL ".join(f"SELECT 'constant' AS finding, '{c}' AS feature, CAST(NULL AS VARCHAR) AS other FROM q HAVING max({c}) - min({c}) < 1e-8" for c in QUALITY)
+       + "".join(f" UNION ALL SELECT 'not_finite', '{c}', NULL FROM q HAVING count(*) FILTER (isnan({c}) OR isinf({c})) > 0" for c in QUALITY)
+       + "".join(f" UNION ALL SELECT 'correlated', '{a}', '{b}' FROM q HAVING stddev_pop({a}) * stddev_pop({b}) >= 1e-8 AND abs(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b}))) > 0.95" for i, a in enumerate(QUALITY) for b in QUALITY[i + 1 :]))
 def quality_findings(spark: SparkSession, d: str) -> DataFrame:
     df = t(spark, d, "lineitem").select("l_quantity", "l_discount", (F.col("l_quantity") * 2).alias("twice"), F.lit(1.0).alias("one"))
     return stats.quality_report(df, ["l_quantity", "l_discount", "twice", "one"])
@@ -348,19 +361,26 @@ def kmeans_step(spark: SparkSession, d: str) -> DataFrame:
     return s.select("cluster", "n", r("c_acctbal", 4).alias("c_acctbal"), r("inertia", 0).alias("inertia"))
 
 
-@query()
+LLOYD = "CASE WHEN abs(x - a) <= least(abs(x - b), abs(x - c)) THEN 0 WHEN abs(x - b) <= abs(x - c) THEN 1 ELSE 2 END"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT c_custkey, c_acctbal AS x FROM customer), m(k, a, b, c) AS (SELECT 0, 0.0::DOUBLE, 5000.0::DOUBLE, 9000.0::DOUBLE UNION ALL
+  SELECT k + 1, coalesce(avg(x) FILTER (g = 0), a), coalesce(avg(x) FILTER (g = 1), b), coalesce(avg(x) FILTER (g = 2), c) FROM (SELECT *, {LLOYD} AS g FROM m, p WHERE k < 19) GROUP BY k, a, b, c)
+SELECT c_custkey, CAST({LLOYD} AS INTEGER) AS cluster, round(least((x - a) ** 2, (x - b) ** 2, (x - c) ** 2), 2) AS distance2 FROM m, p WHERE k = 19""")
 def kmeans_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Lloyd's iterations from given centres."""
     df = t(spark, d, "customer").select("c_custkey", "c_acctbal")
-    return estimators.KMeans(3, max_iter=20).fit(df, ["c_acctbal"]).predict(df)
+    found = estimators.KMeans(3, max_iter=20, tol=0.0, centres=[[0.0], [5000.0], [9000.0]]).fit(df, ["c_acctbal"]).predict(df)
+    return rounded(found.select("c_custkey", "cluster", "distance2"), 2)
 
 
-def flat(spark: SparkSession, d: str, width: int = 8) -> tuple[DataFrame, list[str]]:
+def flat(spark: SparkSession, d: str, width: int = 64) -> tuple[DataFrame, list[str]]:
     names = [f"f{j}" for j in range(width)]
     e = t(spark, d, "embeddings")
     return e.select("vec_id", "label", *(F.get("embedding", j).cast("double").alias(n) for j, n in enumerate(names))), names
 
 
-FLAT = "WITH e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding[1:8]] AS v FROM embeddings), u AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM e)"
+FLAT = "WITH e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings), u AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM e)"
 
 
 @query(f"{FLAT} SELECT round(sum(w), 4) AS inertia FROM (SELECT var_pop(x) * count(*) AS w FROM u GROUP BY label, j)")
@@ -399,10 +419,10 @@ def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plane(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_nationkey") * 3.0).alias("y"))
 
 
-PLANE = "WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier), n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1.1), k AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 4)"
+PLANE = "WITH RECURSIVE p AS (SELECT c_custkey AS id, c_acctbal / 100 AS x, c_nationkey * 3.0::DOUBLE AS y FROM customer), n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1.1), k AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 4)"
 
 
 @query(f"{PLANE} SELECT a, b FROM n")
@@ -416,7 +436,7 @@ c AS (SELECT a, dense_rank() OVER (ORDER BY min(b)) - 1 AS label FROM reach GROU
 o AS (SELECT n.a, min(label) AS label FROM n JOIN c ON n.b = c.a GROUP BY n.a)
 SELECT id, CAST(coalesce(c.label, o.label, -1) AS BIGINT) AS label, c.label IS NOT NULL AS is_core FROM p LEFT JOIN c ON c.a = id LEFT JOIN o ON o.a = id""")
 def density_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return estimators.dbscan(plane(spark, d), "id", "x", "y", 1.1, 4)
+    return estimators.dbscan(plane(spark, d), "id", ["x", "y"], 1.1, 4)
 
 
 @query()
@@ -425,24 +445,35 @@ def principal_components(spark: SparkSession, d: str) -> DataFrame:
     return estimators.PCA(2).fit(df, names).transform(df).select("vec_id", "pc0", "pc1")
 
 
-@query()
+def _logistic_sql(steps: int = 5, rate: float = 0.5) -> str:
+    """Steps of gradient descent: a row of 65 weights a step."""
+    w = [f"w{j}" for j in range(65)]
+    z = " + ".join(["w0", *(f"w{j} * v[{j}]" for j in range(1, 65))])
+    step = ", ".join(f"{c} - {rate} * avg((p - y){'' if not j else f' * v[{j}]'})" for j, c in enumerate(w))
+    return f"""WITH RECURSIVE e AS (SELECT vec_id, CAST(label < 5 AS INTEGER) AS y, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings),
+w(k, {", ".join(w)}) AS (SELECT 0, {", ".join("0.0::DOUBLE" for _ in w)} UNION ALL
+  SELECT k + 1, {step} FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM w, e WHERE k < {steps}) GROUP BY k, {", ".join(w)})
+SELECT vec_id, CAST({z} >= 0 AS INTEGER) AS prediction FROM w, e WHERE k = {steps}"""
+
+
+@query(_logistic_sql())
 def logistic_fit(spark: SparkSession, d: str) -> DataFrame:
-    df, names = flat(spark, d, 4)
+    df, names = flat(spark, d)
     df = df.withColumn("y", (F.col("label") < 5).cast("int"))
-    return estimators.LogisticRegression(rate=0.5, max_iter=5).fit(df, names, "y").predict(df).select("vec_id", "prediction")
+    return estimators.LogisticRegression(rate=0.5, max_iter=5, tol=0.0).fit(df, names, "y").predict(df).select("vec_id", "prediction")
 
 
 @query()
 def forest_fit(spark: SparkSession, d: str) -> DataFrame:
-    df, names = flat(spark, d, 6)
-    return estimators.RandomForest(n_trees=8, max_depth=4).fit(df, names, "label").predict(df.select("vec_id", *names)).select("vec_id", "prediction")
+    df, names = flat(spark, d)
+    return estimators.RandomForest(n_trees=20, max_depth=8).fit(df, names, "label").predict(df.select("vec_id", *names)).select("vec_id", "prediction")
 
 
 @query()
 def network_fit(spark: SparkSession, d: str) -> DataFrame:
-    df, names = flat(spark, d, 6)
+    df, names = flat(spark, d)
     df = df.withColumn("y", (F.col("label") < 5).cast("double"))
-    return Sequential([(8, "relu"), (1, "sigmoid")], loss="bce").fit(df, names, ["y"], epochs=3, optimizer=Adam(0.01)).predict(df.select("vec_id", *names)).select("vec_id", "p0")
+    return Sequential([(8, "relu"), (1, "sigmoid")], loss="bce").fit(df, names, ["y"], epochs=10, optimizer=Adam(0.01)).predict(df.select("vec_id", *names)).select("vec_id", "p0")
 
 
 ACTS = ["relu", "leaky_relu", "elu", "swish", "gelu", "sigmoid", "tanh"]
@@ -472,9 +503,9 @@ def guarded_math(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", r(scalars.safe_div(v, (F.col("event_id") % 3 - 1).cast("double")), 2).alias("ratio"), r(scalars.safe_sqrt(v)).alias("root"), r(scalars.safe_log(v)).alias("log"), scalars.dead_sign(v).alias("sign"), scalars.clamp(v, -10.0, 10.0).alias("clamped"))
 
 
-@query(f"WITH e AS ({EMB}) SELECT row_id, [round(exp(x - list_max(v[1:4])) / list_sum([exp(y - list_max(v[1:4])) for y in v[1:4]]), 6) for x in v[1:4]] AS p FROM e")
+@query(f"WITH e AS ({EMB}) SELECT row_id, [round(exp(x - list_max(v)) / list_sum([exp(y - list_max(v)) for y in v]), 6) for x in v] AS p FROM e")
 def softmax_rows(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d, 4).select("row_id", F.transform(scalars.softmax_row(F.col("values")), lambda x: F.round(x, 6)).alias("p"))
+    return vectors(spark, d).select("row_id", F.transform(scalars.softmax_row(F.col("values")), lambda x: F.round(x, 6)).alias("p"))
 
 
 @query(f"WITH e AS ({EMB}) SELECT row_id, round(list_max(v) + ln(list_sum([exp(y - list_max(v)) for y in v])), 6) AS lse, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS top, CAST(list_position(v, list_min(v)) - 1 AS INTEGER) AS low FROM e")
@@ -500,9 +531,12 @@ def loss_values(spark: SparkSession, d: str) -> DataFrame:
     return df.agg(r(losses.bce(y, p)).alias("bce"), r(losses.half_mse(y, p)).alias("half_mse"), r(losses.cce([y, 1 - y], [p, 1 - p])).alias("cce"), r(losses.focal(y, p)).alias("focal"))
 
 
-@query(f"WITH e AS ({EMB}) SELECT row_id, [round(greatest(0, v[1] - v[2] + 0.5 * v[3] + 0.1), 6), round(greatest(0, 0.25 * v[1] + v[2] - v[3] - 0.2), 6)] AS out FROM e")
+DENSE = [[0.25 * (j % 5 - 2), 0.5 * (j % 3 - 1)] for j in range(64)]
+
+
+@query(f"WITH e AS ({EMB}) SELECT row_id, [" + ", ".join(f"round(greatest(0, {' + '.join(f'{w[k]} * v[{j + 1}]' for j, w in enumerate(DENSE))} + {b}), 6)" for k, b in enumerate((0.1, -0.2))) + "] AS out FROM e")
 def dense_forward(spark: SparkSession, d: str) -> DataFrame:
-    z = arrays.dense_product(vectors(spark, d, 3), [[1.0, 0.25], [-1.0, 1.0], [0.5, -1.0]], [0.1, -0.2])
+    z = arrays.dense_product(vectors(spark, d), DENSE, [0.1, -0.2])
     return z.select("row_id", F.transform("values", lambda v: F.round(F.greatest(v, F.lit(0.0)), 6)).alias("out"))
 
 
@@ -535,9 +569,9 @@ def matrix_diagonal(spark: SparkSession, d: str) -> DataFrame:
     return arrays.diagonal(cells(spark, d))
 
 
-@query(f"WITH e AS ({EMB}) SELECT a.row_id, [round(a.v[k] - b.v[k], 6) for k in range(1, 9)] AS values FROM e a JOIN (SELECT row_id, [y * 0.5 for y in v] AS v FROM e) b USING (row_id)")
+@query(f"WITH e AS ({EMB}) SELECT a.row_id, [round(a.v[k] - b.v[k], 6) for k in range(1, 65)] AS values FROM e a JOIN (SELECT row_id, [y * 0.5 for y in v] AS v FROM e) b USING (row_id)")
 def matrix_difference(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d, 8).select("row_id", "values")
+    v = vectors(spark, d).select("row_id", "values")
     return arrays.elementwise(v, arrays.scalar(v, "mul", 0.5), "sub").select("row_id", F.transform("values", lambda x: F.round(x, 6)).alias("values"))
 
 
@@ -546,10 +580,12 @@ def matrix_block(spark: SparkSession, d: str) -> DataFrame:
     return arrays.block(vectors(spark, d).select("row_id", "values"), 10, 30, 2, 6)
 
 
-@query(f"WITH e AS ({EMB}) SELECT CAST(k AS BIGINT) AS row_id, v[1:2] AS values FROM range(40) t(k) JOIN e ON row_id = (k * 7) % 50")
+@query(f"WITH e AS ({EMB}) SELECT CAST(3 * row_id + k AS BIGINT) AS row_id, v AS values FROM e, range(2) t(k)")
 def gather_rows(spark: SparkSession, d: str) -> DataFrame:
-    index = spark.range(40).select(F.col("id").alias("pos"), (F.col("id") * 7 % 50).alias("row_id"))
-    return arrays.gather(vectors(spark, d, 2).select("row_id", "values"), index)
+    """Every row twice, at positions of its own."""
+    v = vectors(spark, d).select("row_id", "values")
+    index = v.select("row_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select((3 * F.col("row_id") + F.col("k")).cast("bigint").alias("pos"), "row_id")
+    return arrays.gather(v, index)
 
 
 @query("SELECT CAST(k AS BIGINT) AS row_id, round(k / 500.0, 9) AS x, round(2 * k / 500.0 + 1 + 0.1 * sin(10 * k / 500.0) + 0.05 * cos(3 * k / 500.0), 9) AS y FROM range(500) t(k)")
@@ -565,8 +601,7 @@ def number_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity * l_quantity + l_discount * l_discount), 6) AS radius FROM lineitem")
 def radial_feature(spark: SparkSession, d: str) -> DataFrame:
-    x, y = F.col("l_quantity"), F.col("l_discount")
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(F.sqrt(x * x + y * y)).alias("radius"))
+    return rounded(arrays.with_radius(t(spark, d, "lineitem"), "l_quantity", "l_discount").select("l_orderkey", "l_linenumber", "radius"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")

@@ -144,7 +144,7 @@ def test_estimators(spark):
 def test_density_clusters(spark):
     points = [(0.1 * k, 0.0) for k in range(4)] + [(5 + 0.1 * k, 5.0) for k in range(4)] + [(10.0, 10.0), (0.0, 10.0)]
     df = frame(spark, [(i, *p) for i, p in enumerate(points)], "id long, x double, y double")
-    got = {r["id"]: r["label"] for r in estimators.dbscan(df, "id", "x", "y", 0.5, 3).collect()}
+    got = {r["id"]: r["label"] for r in estimators.dbscan(df, "id", ["x", "y"], 0.5, 3).collect()}
     assert [got[i] for i in range(10)] == [0] * 4 + [1] * 4 + [-1, -1]
 
 
