@@ -2,6 +2,12 @@
 
 Every stage works on all that the one before it kept, keeps the columns of ``documents`` (but the last, which returns packed
 pieces), and reads other tables from ``sf_dir``.  Part of subpackage llm.
+
+Edge cases.  Language: null texts and texts without a letter are rejected, as the operator says.  Near-duplicates: a row is known by
+doc_id and text, so rows without a doc_id, or with equal ones, stay unless their texts are similar; of repeated rows one stays; null and
+empty texts are alike.  Decontamination: a null text holds no item; rows whose doc_id a found one shares go with it, null doc_ids too.
+Secrets: a null text stays null.  Packing: a null text is one piece with the end id.  Extra columns are carried along, whatever
+their names; names in another case are taken as Spark does; an empty table gives an empty result.  Texts are handled whole.
 """
 
 from __future__ import annotations
@@ -49,16 +55,23 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_sequences),
 ]
 
-#: SQL expresses neither language models nor SimHash nor tokenizers; the tests hold the stages against brute force.
+#: SQL expresses neither language models nor SimHash nor tokenizers.  The tests hold language models, near-duplicates, decontamination
+#: and packing against brute force, and the secrets' base spans against a plain scan.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table.  What a stage was made from is deleted once its result is written."""
     work = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
+        known = len(Workspace.made)
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = work.save(docs)
+            for used in Workspace.made[known:]:
+                used.clear()
+            if before is not None:
+                work.drop(before)
+            before = docs
     return docs
