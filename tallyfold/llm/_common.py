@@ -41,12 +41,16 @@ def shared_folder(spark: SparkSession) -> str:
 class Workspace:
     """Tables written to the shared folder, to cut lineage and to use a costly result more than once.
 
-    Files survive the loss of executors. ``drop`` removes a table that is no longer read.
+    Files survive the loss of executors.  ``drop`` removes a table that is no longer read, ``clear`` all of them; ``made`` lists
+    the workspaces that are still there, so that a caller who has written a result can clear what it was made from.
     """
 
+    made: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        Workspace.made.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.count}"
@@ -56,8 +60,15 @@ class Workspace:
         out._workspace_path = path
         return out
 
+    def clear(self) -> None:
+        self._delete(self.base)
+        Workspace.made.remove(self)
+
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._workspace_path)
+        self._delete(df._workspace_path)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -88,7 +99,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
         n = batch.num_rows
         if not n:
             continue
-        values = batch.column(batch.schema.get_field_index(column))
+        values = batch.column([c.lower() for c in batch.schema.names].index(column.lower()))
         step = max(1, int(n * size / max(1, values.nbytes)))
         for i in range(0, n, step):
             yield batch.slice(i, step)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._common import slices, with_column_names
+from ._common import lean, position, slices, with_column_names
 
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -157,7 +157,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     docs = with_column_names(docs, "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
+    return docs.mapInArrow(lean(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
 
 
 MASK = "[SECRET]"
@@ -176,15 +176,16 @@ def masked(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with secrets masked in ``text``; all rows and other columns stay, n_chars (if there) follows."""
 
+    k, n = (position(docs, c) if c in map(str.lower, docs.columns) else -1 for c in ("text", "n_chars"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            k = b.schema.get_field_index("text")
             column = b.column(k)
             out = [None if t is None else masked(t, s) for t, s in zip(column.to_pylist(), scan_batch(column), strict=True)]
             b = b.set_column(k, b.schema.field(k), pa.array(out, b.schema.field(k).type))
-            if (n := b.schema.get_field_index("n_chars")) >= 0:
+            if n >= 0:
                 f = b.schema.field(n)
                 b = b.set_column(n, f, pa.array([None if t is None else len(t) for t in out], f.type))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
