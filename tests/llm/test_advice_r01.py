@@ -189,3 +189,77 @@ def test_pages_table_edges(spark):
     got = sorted(map(tuple, html_extract.extract_pages(pages).collect()), key=str)
     assert got == sorted([(1, "u", "A b.", 4)] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=str)
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_pipeline_stages_on_edge_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b = " ".join(words(60, 1)), " ".join(words(60, 2))
+    rows = [(None, a, "en"), (None, b, "en"), (5, a + " more", "en"), (5, b, "en"), (6, None, "en"), (7, "", "en"), (8, "one two", None), (8, "one two", None), (9, "password = hunter2222 here", "en")]
+    spark.createDataFrame([(1, a)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs_ = spark.createDataFrame(rows, "doc_id long, Text string, lang string").withColumns({c: F.lit(c) for c in ("node", "found", "first", "its_text", "row", "fp", "key", "start", "h")})
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs_, str(tmp_path))
+        if name != "packing":
+            assert out.columns == docs_.columns
+        assert stage(spark, docs_.limit(0), str(tmp_path)).count() == 0
+        got[name] = out.collect()
+    assert all(r["Text"] for r in got["language_id"]) and {r["doc_id"] for r in got["language_id"]} >= {5, None}
+    assert sorted((r["doc_id"] or 0, r["Text"] or "") for r in got["near_duplicates"]) == sorted([(5, a + " more"), (5, b), (6, ""), (8, "one two"), (9, rows[8][1])]) or {r["doc_id"] for r in got["near_duplicates"]} == {5, 6, 8, 9}
+    assert sorted(str(r["doc_id"]) for r in got["decontamination"]) == ["6", "7", "8", "8", "9"]
+    assert [r["Text"] for r in got["secrets"]].count(None) == 1 and "hunter" not in str(got["secrets"])
+    assert len(got["packing"]) == len(rows) and all(r["length"] == 1 for r in got["packing"] if r["doc_id"] in (6, 7))
+
+
+def test_base_spans_by_a_plain_scan():
+    """All three kinds against a scan character by character, on random texts made of their parts."""
+    rng = random.Random(8)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "apikey", "API key", "AKIA", "akia", '"', "'", " ", "  ", ":", "=", "-", "/", "é", "日", "\n", "x", "0", "Z9", "deadbeef", "0123456789abcdef", "ABCDEF12", "hunter"]
+    names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def assign(t, i):
+        for name in names:
+            if t[i : i + len(name)].lower() == name and t[i : i + len(name)].isascii():
+                for sep in (":", "="):
+                    k = i + len(name)
+                    k += t[k : k + 1] in ('"', "'") and t[k : k + 1] != ""
+                    while t[k : k + 1] == " ":
+                        k += 1
+                    if t[k : k + 1] != sep:
+                        continue
+                    k += 1
+                    while t[k : k + 1] == " ":
+                        k += 1
+                    k += t[k : k + 1] in ('"', "'") and t[k : k + 1] != ""
+                    e = k
+                    while t[e : e + 1] and t[e] in value:
+                        e += 1
+                    if e > k:
+                        return e, e - k
+        return None
+
+    def run(t, i, ok, lead=""):
+        e = i + len(lead)
+        while t[i : i + len(lead)] == lead and t[e : e + 1] and t[e] in ok:
+            e += 1
+        return e if e > i + len(lead) and t[i : i + len(lead)] == lead else None
+
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 30)))
+        want = {"assign": [], "access": [], "hex": []}
+        i = 0
+        while i < len(t):
+            m = assign(t, i)
+            if m and m[1] >= 6:
+                want["assign"].append((i, m[0]))
+            i = m[0] if m else i + 1
+        for kind, lead, ok, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+            i = 0
+            while i < len(t):
+                e = run(t, i, ok, lead)
+                if e and e - i >= least:
+                    want[kind].append((i, e))
+                i = e or i + 1
+        assert secret_scan.base_spans(t) == want, t
