@@ -35,7 +35,7 @@ from ._common import Workspace, lean, slices, with_column_names
 CAPACITY = 4096
 END_ID = 2
 #: Bytes of chunks that a Python worker remembers (each with ENTRY more for its place), and pieces of a length ranked in one group.
-CACHE, ENTRY, RANK_GROUP = 64 << 20, 200, 100_000
+CACHE, ENTRY, RANK_GROUP = 48 << 20, 200, 100_000
 #: A text by which a tokenizer is known to cut as ``Chunks`` does.
 PROBE = "It's WE'RE don't 1234 a1b2 x_y <|z ---!? caf\u00e9 \u00c0\u00df\u00f7\u00ff soft\u00adhyphen n\u00b2 \t\r\n\x0b tabs\tand\u00a0spaces \u0130\u03a3\u03c2 \u65e5\u672c e\u0301 end."
 
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = chunks(path)
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text"):
             row, start, length, crc, total = [], [], [], [], []
             for k, found in enumerate(of.ids(pc.fill_null(b.column(1), ""))):
                 ids = np.append(found, np.uint32(end_id)).astype("<u4")
