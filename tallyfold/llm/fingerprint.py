@@ -22,7 +22,8 @@ from pyspark.sql.window import Window
 from ._common import with_column_names
 
 WORDS, K = 5, 128
-#: Bytes of text in a range of doc_id, and ranges at most (their bounds go to every task); more text makes larger ranges, which are sorted with spill.
+#: Bytes of text in a range of doc_id (two ranges a shuffle partition at least), and ranges at most (their bounds go to every task); more
+#: text makes larger ranges, which are sorted with spill.
 RANGE_BYTES, MAX_RANGES = 16 << 20, 100_000
 
 
@@ -125,7 +126,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    splits = splits_of(docs, min(MAX_RANGES, -(-size // RANGE_BYTES) or 1))
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splits = splits_of(docs, min(MAX_RANGES, max(tasks, -(-size // RANGE_BYTES))))
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if splits:
         bounds = spark.createDataFrame([(int(s),) for s in splits], "doc_id bigint")  # one a range
