@@ -9,6 +9,8 @@ neighbouring windows nearly always have the same one (a run, about a third of LE
    brings one row a task to the shuffle.
 2. Contexts: a run that may repeat is fetched from its text, with bucket, bytes and place.  Equal contexts of a task
    are combined to the first.
+   A bucket of very many runs (HOT_RUNS, estimated from a sample of documents) is split: its windows go one by one, each by
+   the hash of its bytes, and equal ones of a task are combined.  The sample only chooses the way; both give the same result.
 3. One bucket at a time, contexts in document order: the 64-bit hashes of its windows are ranked with those seen,
    and the first window of each string is an original.
 4. Every window of a fetched run that is no original is removed with its bytes.  Runs, originals and text meet by
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,6 +43,9 @@ LENGTH, GRAM = 100, 32
 RUN = 128
 #: Buckets that a task remembers to combine its own occurrences.
 COMBINE = 2_000_000
+#: Runs of a bucket from which it is split, part of the documents (one in so many) by which runs are counted, and the most buckets
+#: that are split (8 bytes each are broadcast); the bound of runs rises where there would be more.
+HOT_RUNS, HOT_SAMPLE, HOT_LIST = 200_000, 64, 1_000_000
 _B, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -195,12 +201,39 @@ def find_runs(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "tag", "text").mapInArrow(run, "spread long, sure boolean, doc long, tag long, start int, size short")
 
 
-def contexts(rows: DataFrame) -> DataFrame:
-    """(bucket, doc, tag, start, bytes) of the runs that may repeat; of equal ones in a batch, the first in document order."""
+def hot_buckets(rows: DataFrame, work: Workspace) -> np.ndarray:
+    """Sorted buckets of about HOT_RUNS runs or more, HOT_LIST at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            bucket, n = np.unique(np.concatenate([bucket_runs(d)[0] for d in text_bytes(b, "text")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(n)], names=["bucket", "n"])
+
+    some = rows.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(HOT_SAMPLE)) == 0).select("text")
+    count = some.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    count = work.save(count.where(F.col("n") * HOT_SAMPLE >= HOT_RUNS))
+    total = count.agg(F.sum("n")).first()[0] or 0
+    listed = count.where(F.col("n") * HOT_LIST >= total).select("bucket").toArrow().column(0).to_numpy()
+    return np.sort(listed.view(np.uint64))
+
+
+def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def contexts(rows: DataFrame, hot: Broadcast) -> DataFrame:
+    """(bucket, doc, tag, start, bytes) of the runs that may repeat; of equal ones in a batch, the first in document order.
+
+    Windows of ``hot`` buckets are rows of their own, with their hash as the bucket and the 8 bytes of the bucket in place of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = hot.value
         for b in slices(batches, "packed", 8 << 20):
-            first: dict[bytes, tuple[int, int, int, int]] = {}
+            first: dict[bytes | tuple[int, int], tuple[int, int, int, int]] = {}
             where = {name: b.schema.get_field_index(name) for name in ("doc", "tag", "runs")}
             docs, tags, lists = (b.column(where[k]) for k in ("doc", "tag", "runs"))
             for k, data in enumerate(unpacked(b)):
@@ -209,6 +242,15 @@ def contexts(rows: DataFrame) -> DataFrame:
                 doc, tag = docs[k].as_py(), tags[k].as_py()
                 bucket, start, size, _ = bucket_runs(data)
                 mine = np.isin(start, lists[k].values.field("start").to_numpy())
+                alone = mine & member(bucket, split)
+                if alone.any():
+                    h = mixed(rolling(data, LENGTH)).view(np.int64)
+                    for m, s, n in zip(bucket.view(np.int64)[alone].tolist(), start[alone].tolist(), size[alone].tolist(), strict=True):
+                        for at, key in enumerate(h[s : s + n].tolist(), s):
+                            place = (doc, tag, at, key)
+                            if place < first.setdefault((key, m), place):
+                                first[key, m] = place
+                    mine &= ~alone
                 raw = data.tobytes()
                 for m, s, n in zip(bucket.view(np.int64)[mine].tolist(), start[mine].tolist(), size[mine].tolist(), strict=True):
                     key, place = raw[s : s + n + LENGTH - 1], (doc, tag, s, m)
@@ -217,7 +259,8 @@ def contexts(rows: DataFrame) -> DataFrame:
             if first:
                 doc, tag, start, bucket = zip(*first.values(), strict=True)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                cols = [pa.array(c, k) for c, k in zip((bucket, doc, tag, start, list(first)), kinds, strict=True)]
+                held = [key if isinstance(key, bytes) else key[1].to_bytes(8, "little", signed=True) for key in first]
+                cols = [pa.array(c, k) for c, k in zip((bucket, doc, tag, start, held), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=["bucket", "doc", "tag", "start", "bytes"])
 
     return rows.mapInArrow(run, "bucket long, doc long, tag long, start int, bytes binary")
@@ -227,19 +270,23 @@ def originals(held: DataFrame) -> DataFrame:
     """(doc, tag, start, size): ranges of windows that are the first of their string, from contexts.
 
     A bucket's contexts come to one task in document order; of the bucket at a batch's end only the hashes
-    of its windows are kept for the next batch.
+    of its windows are kept for the next batch.  A row of less than LENGTH bytes is one window of a split bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, before = None, np.empty(0, np.uint64)
         for b in slices(batches, "bytes"):
             many = text_bytes(b, "bytes")
-            n = np.array([len(d) - LENGTH + 1 for d in many])
+            length = np.array([len(d) for d in many])
+            single = np.flatnonzero(length < LENGTH)
+            n = np.maximum(1, length - LENGTH + 1)
             upto = np.concatenate([[0], np.cumsum(n)])
             # windows that span two contexts are hashed too, and left out
-            h = rolling(np.concatenate(many), LENGTH)
-            h = mixed(h[np.arange(upto[-1]) + np.repeat(np.arange(len(n)) * (LENGTH - 1), n)])
+            h = rolling(np.concatenate([*many, np.zeros(LENGTH, np.uint8)]), LENGTH)
+            h = mixed(h[np.arange(upto[-1]) + np.repeat(np.cumsum(length) - length - upto[:-1], n)])
             bucket = b.column(0).to_numpy()
+            if len(single):  # hashes of two buckets in a batch must differ, whatever they were split from
+                h[upto[single]] = mixed(bucket[single].view(np.uint64) ^ np.concatenate([many[k] for k in single]).view(np.uint64))
             own = np.zeros(len(h), bool)
             own[np.unique(h, return_index=True)[1]] = True
             new = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
@@ -316,6 +363,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = work.save(found.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size")).alias("runs")))  # bounded by the text
     # repeated rows list their runs twice, which marks the same windows
     texts = packed(rows).join(found, ["doc", "tag"], "left").select("doc_id", "doc", "tag", "bytes", "packed", "runs")
-    held = contexts(texts).repartition("bucket").sortWithinPartitions("bucket", "doc", "tag", "start")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_buckets(rows, work))
+    held = contexts(texts, hot).repartition("bucket").sortWithinPartitions("bucket", "doc", "tag", "start")
     kept = originals(held).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size")).alias("kept"))
     return remove(texts.join(kept, ["doc", "tag"], "left").select("doc_id", "bytes", "packed", "runs", "kept"))

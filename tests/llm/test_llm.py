@@ -285,7 +285,11 @@ def test_secrets():
     assert secret_scan.masked("a secret=abcdef b", {"assign": [(2, 15)], "hex": [(9, 15)]}) == "a [SECRET] b"
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("hot", [repeats.HOT_RUNS, 1])
+def test_repeats(spark, monkeypatch, hot):
+    """With whole buckets, and with every bucket split."""
+    monkeypatch.setattr(repeats, "HOT_RUNS", hot)
+    monkeypatch.setattr(repeats, "HOT_SAMPLE", 1 if hot == 1 else repeats.HOT_SAMPLE)
     rng = random.Random(5)
     text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     shared = [text(n) for n in (99, 100, 150, 400)]
