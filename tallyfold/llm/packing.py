@@ -36,6 +36,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Bytes of chunks that a Python worker remembers (each with ENTRY more for its place), and pieces of a length ranked in one group.
 CACHE, ENTRY, RANK_GROUP = 48 << 20, 200, 100_000
+#: Chunks whose ids a worker lists at once (of a larger text: all).
+GROUP = 100_000
 #: A text by which a tokenizer is known to cut as ``Chunks`` does.
 PROBE = "It's WE'RE don't 1234 a1b2 x_y <|z ---!? caf\u00e9 \u00c0\u00df\u00f7\u00ff soft\u00adhyphen n\u00b2 \t\r\n\x0b tabs\tand\u00a0spaces \u0130\u03a3\u03c2 \u65e5\u672c e\u0301 end."
 
@@ -70,7 +72,7 @@ class Chunks(dict):
         hidden = [b for b in range(256) if b not in set(visible)]
         self.letters = {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}
         self.flat, self.start, self.size = array("I"), array("q", [0]), 0
-        if self.ids(pa.array([PROBE]))[0].tolist() != self.whole.encode(PROBE, add_special_tokens=False).ids:
+        if np.concatenate([*self.ids(pa.array([PROBE]))]).tolist() != self.whole.encode(PROBE, add_special_tokens=False).ids:
             raise ValueError(f"{path} cuts or normalises texts in another way than these chunks")
 
     def __missing__(self, chunk: str) -> int:
@@ -93,25 +95,30 @@ class Chunks(dict):
         self.size += ENTRY + len(chunk)
         return out
 
-    def ids(self, column: pa.Array) -> list[np.ndarray]:
-        """All ids of each text of a column without nulls, unsigned 32-bit."""
+    def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """All ids of each text of a column without nulls, unsigned 32-bit; it must be read to its end."""
         words = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
         ends = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
         known = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        at = known[coded.indices.to_numpy()]
-        start = np.frombuffer(self.start, np.int64)
-        first, size = start[at], start[at + 1] - start[at]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        where = np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)
-        found = np.frombuffer(self.flat, np.uint32)[where] if len(where) else np.empty(0, np.uint32)
-        del start
+        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat or bytes(4), np.uint32)
+        indices, row = coded.indices.to_numpy(), 0
+        while row < len(column):  # texts of about GROUP chunks at once
+            to = max(row + 1, int(np.searchsorted(ends, ends[row] + GROUP, side="right")) - 1)
+            at = known[indices[ends[row] : ends[to]]]
+            first, size = start[at], start[at + 1] - start[at]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            where = np.repeat(first - upto[:-1], size)
+            where += np.arange(upto[-1])
+            found = flat[where] if len(where) else np.empty(0, np.uint32)
+            yield from np.split(found, upto[ends[row + 1 : to] - ends[row]])
+            row = to
+        del start, flat  # the buffers can't shrink while they are seen
         while self.size > CACHE:
             last, _ = self.popitem()
             self.size -= ENTRY + len(last)
         del self.start[len(self) + 1 :]
         del self.flat[self.start[-1] :]
-        return np.split(found, upto[ends[1:-1]])
 
 
 _chunks: dict[str, Chunks] = {}
