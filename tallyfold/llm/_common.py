@@ -81,10 +81,25 @@ def release() -> None:
         pass
 
 
-def lean(run: Run) -> Run:
-    """``run`` for mapInArrow that releases its memory when it ends: Python workers live on between tasks and stages."""
+#: Caches, by name, that outlive a task in its Python worker.
+caches: dict[str, dict] = {}
+
+
+def forget(but: str | None = None) -> None:
+    """Empty this process's caches, save one."""
+    for name, cache in caches.items():
+        if name != but:
+            cache.clear()
+
+
+def lean(run: Run, cache: str | None = None) -> Run:
+    """``run`` for mapInArrow that releases its memory when it ends: Python workers live on between tasks and stages.
+
+    It begins without what other runs cached in its worker; ``cache`` names the one it uses.
+    """
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(cache)
         try:
             yield from run(batches)
         finally:

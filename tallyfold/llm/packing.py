@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import Workspace, lean, slices, with_column_names
+from ._common import Workspace, caches, lean, slices, with_column_names
 
 CAPACITY = 4096
 END_ID = 2
@@ -122,10 +122,11 @@ class Chunks(dict):
 
 
 _chunks: dict[str, Chunks] = {}
+caches["chunks"] = _chunks
 
 
 def chunks(path: str) -> Chunks:
-    """One cache a worker process and tokenizer, kept over tasks; it holds CACHE bytes at most between batches."""
+    """One cache a worker process and tokenizer, kept until another run comes; it holds CACHE bytes at most between batches."""
     if path not in _chunks:
         _chunks[path] = Chunks(path)
     return _chunks[path]
@@ -152,7 +153,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     docs = with_column_names(docs, "doc_id", "text")
-    return docs.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.mapInArrow(lean(run, "chunks"), f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def best_fill(room: int, counts: dict[int, int]) -> dict[int, int]:

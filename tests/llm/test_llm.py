@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tallyfold.llm import decontaminate, fingerprint, html_extract, language_id, license_scan, packing, repeats, secret_scan, simhash, url_filter
+from tallyfold.llm._common import lean
 
 EDGE = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "same text here"), (6, "same text here"), (6, "same text here"), (None, "no id at all"), (7, "Ünï — 日本 " * 50)]
 
@@ -351,3 +352,12 @@ def test_language_sample_is_the_lowest_hashes(spark):
     known = docs.where(~language_id.held_out(F.col("doc_id"))).select("text", "lang", F.xxhash64("doc_id").alias("h")).collect()
     want = {x: [r["text"] for r in sorted((r for r in known if r["lang"] == x), key=lambda r: r["h"])[:50]] for x in ("de", "en")}
     assert got == want
+
+
+def test_a_run_begins_without_the_caches_of_others():
+    of = packing.chunks(packing.default_tokenizer())
+    list(of.ids(pa.array(["some words"])))
+    assert list(lean(iter, "chunks")(iter([1]))) == [1]
+    assert packing.chunks(packing.default_tokenizer()) is of
+    assert list(lean(iter)(iter([1]))) == [1]
+    assert packing.chunks(packing.default_tokenizer()) is not of
