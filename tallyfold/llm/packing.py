@@ -263,4 +263,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     rows = ranked(cut, sum(histogram.values())).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")
     kind = dict(docs.dtypes)["doc_id"]
-    return rows.mapInArrow(lean(place), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padding long")
+    return rows.mapInArrow(lean(place, "chunks"), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padding long")
