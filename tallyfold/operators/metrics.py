@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import EPSILON
 from .arrays import sums_above
+from .pairs import label_sums
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -147,22 +148,20 @@ def davies_bouldin(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 def silhouette(df: DataFrame, key: str, columns: list[str], label: str, blocks: int | None = None) -> DataFrame:
     """One row: the mean of (b - a) / max(a, b) over the rows of clusters; a singleton has a = 0.
 
-    Exact Euclidean means need every distance.  The rows are dealt into blocks of about 2,000; a pair of blocks is one key, so
-    a task holds block pairs, and sums are combined before the shuffle.
+    Exact Euclidean means need every distance: blocks of rows meet in pairs, and give each row's sums by label.  A row
+    with a null cell counts as 0, and among the rows of its cluster.
     """
-    blocks = blocks or max(2, -(-df.count() // 2000))
-    own = df.where(F.col(label) >= 0).select(F.col(key).alias("key"), F.col(label).alias("label"), F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
-    own = own.withColumn("blk", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
-    left = own.withColumn("other", F.explode(every))
-    right = own.select(F.col("blk").alias("other"), F.col("key").alias("key2"), F.col("label").alias("label2"), F.col("v").alias("w")).withColumn("blk", F.explode(every))
-    d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
-    sums = left.join(right, ["blk", "other"]).groupBy("key", "label", "label2").agg(F.sum(d).alias("s"), F.count("*").alias("n"))
+    own = df.where(F.col(label) >= 0).select(F.col(key).alias("key"), F.col(label).alias("label"), F.array(*(F.col(c).cast("double") for c in columns)).alias("values"))
+    sizes = own.groupBy("label").agg(F.count("*").alias("n"))
+    total, holes = own.select(F.count("*"), F.count_if(F.exists("values", F.isnull))).first()
+    parts = label_sums(own.where(~F.exists("values", F.isnull)), total, blocks)
+    sums = parts.groupBy("key", "label", "label2").agg(F.sum("s").alias("s")).join(sizes.withColumnRenamed("label", "label2"), "label2")
     same = F.col("label") == F.col("label2")
     a = F.max(F.when(same, F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)).otherwise(0.0)))
     each = sums.groupBy("key").agg(a.alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))
     top = F.greatest("a", "b")
-    return each.agg(F.avg(F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)).alias("silhouette"))
+    one = F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0)
+    return each.agg((F.coalesce(F.sum(one), F.lit(0.0)) / F.nullif(F.count(one) + holes, F.lit(0))).alias("silhouette"))
 
 
 def accuracy(df: DataFrame, truth: str, predicted: str, eps: float = EPSILON) -> DataFrame:
