@@ -370,7 +370,7 @@ SELECT c_custkey, CAST({LLOYD} AS INTEGER) AS cluster, round(least((x - a) ** 2,
 def kmeans_fit(spark: SparkSession, d: str) -> DataFrame:
     """Lloyd's iterations from given centres."""
     df = t(spark, d, "customer").select("c_custkey", "c_acctbal")
-    found = estimators.KMeans(3, max_iter=20, tol=0.0, centres=[[0.0], [5000.0], [9000.0]]).fit(df, ["c_acctbal"]).predict(df)
+    found = estimators.KMeans(3, max_iter=20, tol=0.0, centres=[[0.0], [5000.0], [9000.0]]).fit_predict(df, ["c_acctbal"])
     return rounded(found.select("c_custkey", "cluster", "distance2"), 2)
 
 
