@@ -572,7 +572,8 @@ def matrix_diagonal(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH e AS ({EMB}) SELECT a.row_id, [round(a.v[k] - b.v[k], 6) for k in range(1, 65)] AS values FROM e a JOIN (SELECT row_id, [y * 0.5 for y in v] AS v FROM e) b USING (row_id)")
 def matrix_difference(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d).select("row_id", "values")
-    return arrays.elementwise(v, arrays.scalar(v, "mul", 0.5), "sub").select("row_id", F.transform("values", lambda x: F.round(x, 6)).alias("values"))
+    signed = lambda x: F.signum(x) * F.round(F.abs(x), 6)  # noqa: E731  (a small negative cell gives -0.0, as in SQL)
+    return arrays.elementwise(v, arrays.scalar(v, "mul", 0.5), "sub").select("row_id", F.transform("values", signed).alias("values"))
 
 
 @query(f"WITH e AS ({EMB}) SELECT row_id, v[3:6] AS values FROM e WHERE row_id >= 10 AND row_id < 30")
