@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 #: Most rows of a block, about which a block has where there are tasks enough, and of a tile of a product.
 BLOCK_ROWS, FEW_ROWS, TILE = 32_768, 512, 1_024
-#: Blocks that a table of few rows is dealt into, and pairs whose distances are summed at a time.
-FEW_BLOCKS, CHECKED = 8, 65_536
+#: Blocks that a table of few rows is dealt into, pairs whose distances are summed at a time, and pairs that are given at a time.
+FEW_BLOCKS, CHECKED, GIVEN = 8, 4_096, 65_536
+#: Rounding of a single-precision number.
+SINGLE = 2.0**-24
 
 #: keys, labels and cells of a block of one width.
 Block = tuple[pa.Array, pa.Array, np.ndarray]
@@ -27,6 +29,13 @@ def blocks_for(n: int) -> int:
     return max(-(-n // BLOCK_ROWS), min(FEW_BLOCKS, -(-n // FEW_ROWS)), 1)
 
 
+def exact_bytes(cells: np.ndarray) -> bytes:
+    """In single precision where that changes no cell, so that less is moved."""
+    with np.errstate(over="ignore"):
+        short = cells.astype(np.float32)
+    return (short if (short == cells).all() else cells).tobytes()
+
+
 def block_pairs(rows: DataFrame, n: int, f: Callable[[Block, Block, bool], Iterator[pa.RecordBatch]], schema: str, blocks: int | None = None) -> DataFrame:
     """What ``f`` gives for each unordered pair of blocks, and each block with itself, of about ``n`` rows (key, label, values).
 
@@ -48,7 +57,7 @@ def block_pairs(rows: DataFrame, n: int, f: Callable[[Block, Block, bool], Itera
                 out["width"].append(w)
                 out["keys"].append(key.take(pa.array(at)))
                 out["labels"].append(label.take(pa.array(at)))
-                out["cells"].append(cells[begin[at][:, None] + np.arange(w)].astype(float).tobytes())
+                out["cells"].append(exact_bytes(cells[begin[at][:, None] + np.arange(w)].astype(float)))
             if out["blk"]:
                 lists_of = lambda parts: pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype("int32"), pa.concat_arrays(parts))
                 yield pa.record_batch([pa.array(out["blk"], pa.int32()), pa.array(out["width"], pa.int32()), lists_of(out["keys"]), lists_of(out["labels"]), pa.array(out["cells"], pa.binary())], names=list(out))
@@ -57,11 +66,12 @@ def block_pairs(rows: DataFrame, n: int, f: Callable[[Block, Block, bool], Itera
         found: dict[tuple, dict[int, list]] = {}
         for b in batches:
             for r, (i, j, blk, w) in enumerate(zip(*(b.column(c).to_pylist() for c in ("i", "j", "blk", "width")), strict=True)):
-                cells = np.frombuffer(b.column("cells")[r].as_buffer()).reshape(-1, w) if w else np.zeros((len(b.column("keys")[r]), 0))
-                found.setdefault((i, j, w), {}).setdefault(blk, []).append((b.column("keys")[r].values, b.column("labels")[r].values, cells))
+                keys, cells = b.column("keys")[r].values, b.column("cells")[r].as_buffer()
+                cells = np.frombuffer(cells, np.float32 if cells.size == 4 * w * len(keys) else float).reshape(len(keys), w)
+                found.setdefault((i, j, w), {}).setdefault(blk, []).append((keys, b.column("labels")[r].values, cells))
         for (i, j, _), sides in found.items():
             if i in sides and j in sides:
-                whole = {k: (pa.concat_arrays([p[0] for p in v]), pa.concat_arrays([p[1] for p in v]), np.concatenate([p[2] for p in v])) for k, v in sides.items()}
+                whole = {k: (pa.concat_arrays([p[0] for p in v]), pa.concat_arrays([p[1] for p in v]), np.concatenate([p[2] for p in v], dtype=float)) for k, v in sides.items()}
                 yield from f(whole[i], whole[j], i == j)
 
     dealt = rows.select("key", "label", "values", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("blk"))
@@ -80,28 +90,60 @@ def summed_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def tiles(x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[tuple[int, int]]:
-    for r in range(0, len(x), TILE):
-        for c in range(r if same else 0, len(y), TILE):
+def tiles(x: np.ndarray, y: np.ndarray, same: bool, size: int) -> Iterator[tuple[int, int]]:
+    for r in range(0, len(x), size):
+        for c in range(r if same else 0, len(y), size):
             yield r, c
 
 
-def within(x: np.ndarray, y: np.ndarray, same: bool, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs within ``eps``: those that a product leaves, with room for its rounding, are summed as they are.
+def single(x: np.ndarray, y: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.float32] | None:
+    """Two matrices in single precision whose product is the squared distances less room for all rounding, and the limit of those within ``eps``.
 
-    In a block with itself a pair comes once, the smaller position first.
+    None where that room is more than a hundredth of the limit, or squares come near the ends of the range.  The room, as a
+    part of the two squared norms: twice the width and 4 for the product's sums, 1 for the norms', and 3 for that of the cells.
     """
+    room, limit = SINGLE * 1.1 * (2 * x.shape[1] + 16), eps * eps
+    u, v = (m - x.mean(0) for m in (x, y))
+    u, v = u.astype(np.float32), v.astype(np.float32)
+    a, b = (np.einsum("ij,ij->i", m, m, dtype=float) for m in (u, v))
+    if not (1e-25 < limit < 1e25 and room * (a.max() + b.max()) <= 0.01 * limit):
+        return None
+    norms = [(m * (1 - room)).astype(np.float32)[:, None] for m in (a, b)]
+    ones = [np.ones_like(m) for m in norms]
+    return np.hstack([u * np.float32(-2), norms[0], ones[0]]), np.hstack([v, ones[1], norms[1]]), np.float32(limit * (1 + 4 * SINGLE))
+
+
+def left_by_product(x: np.ndarray, y: np.ndarray, same: bool, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs, all within ``eps`` among them, that products leave, in single precision where it is enough."""
+    short = single(x, y, eps)
+    if short:
+        size, (one, two, limit) = 2 * TILE, short
+        made = np.empty(min(size, len(x)) * min(size, len(y)), np.float32)
+        for r, c in tiles(x, y, same, size):
+            left, right = one[r : r + size], two[c : c + size]
+            g = np.matmul(left, right.T, out=made[: len(left) * len(right)].reshape(len(left), len(right)))
+            p, q = np.divmod(np.flatnonzero(g <= limit), len(right))
+            yield p + r, q + c
+        return
     room = 1 - 4e-16 * (x.shape[1] + 8)
     limit = eps * eps * (1 + 1e-12)
+    a, b = np.einsum("ij,ij->i", x, x) * room, np.einsum("ij,ij->i", y, y) * room
+    for r, c in tiles(x, y, same, TILE):
+        g = x[r : r + TILE] @ y[c : c + TILE].T
+        g *= -2
+        g += a[r : r + TILE, None]
+        g += b[None, c : c + TILE]
+        p, q = np.nonzero(~(g > limit))  # also where squares are too large for a double
+        yield p + r, q + c
+
+
+def within(x: np.ndarray, y: np.ndarray, same: bool, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within ``eps``: those that a product leaves are summed as they are.
+
+    In a block with itself a pair comes once, the smaller position first.
+    """
     with np.errstate(over="ignore", invalid="ignore"):
-        a, b = np.einsum("ij,ij->i", x, x) * room, np.einsum("ij,ij->i", y, y) * room
-        for r, c in tiles(x, y, same):
-            g = x[r : r + TILE] @ y[c : c + TILE].T
-            g *= -2
-            g += a[r : r + TILE, None]
-            g += b[None, c : c + TILE]
-            p, q = np.nonzero(~(g > limit))  # also where squares are too large for a double
-            p, q = p + r, q + c
+        for p, q in left_by_product(x, y, same, eps):
             if same:
                 p, q = p[p <= q], q[p <= q]
             for k in range(0, len(p), CHECKED):
@@ -136,20 +178,46 @@ def touching(x: np.ndarray, y: np.ndarray, eps: float) -> bool:
     return False
 
 
-def range_pairs(points: DataFrame, eps: float, n: int, blocks: int | None = None) -> DataFrame:
-    """(a, b) of all pairs of rows (row_id, values) within ``eps``, in both orders, and each with itself."""
+class Copies:
+    """The different rows of a block, and where the copies of each are."""
 
-    def run(left: Block, right: Block, same: bool) -> Iterator[pa.RecordBatch]:
-        for p, q in within(left[2], right[2], same, eps):
-            back = np.flatnonzero(p != q) if same else np.arange(len(p))
-            a, b = left[0].take(pa.array(p)), right[0].take(pa.array(q))
-            again = pa.array(back)
-            if len(p):
-                yield pa.record_batch([pa.concat_arrays([a, b.take(again)]), pa.concat_arrays([b, a.take(again)])], names=["a", "b"])
+    def __init__(self, x: np.ndarray):
+        x = np.ascontiguousarray(x)
+        if x.shape[1]:
+            _, first, kind = np.unique(x.view(f"V{x.shape[1] * x.itemsize}").ravel(), return_index=True, return_inverse=True)
+        else:
+            first, kind = np.zeros(1, int), np.zeros(len(x), int)
+        self.rows, self.count, self.order = x[first], np.bincount(kind), np.argsort(kind, kind="stable")
+        self.begin = np.cumsum(self.count) - self.count
+
+
+def spread(p: np.ndarray, q: np.ndarray, one: Copies, two: Copies) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions of all copies of pairs of different rows, and the pair each is of, some at a time."""
+    sizes = one.count[p] * two.count[q]
+    ends = np.cumsum(sizes)
+    for k in range(0, int(sizes.sum()), GIVEN):
+        at = np.arange(k, min(k + GIVEN, ends[-1]))
+        pair = np.searchsorted(ends, at, side="right")
+        i, j = np.divmod(at - (ends - sizes)[pair], two.count[q[pair]])
+        yield one.order[one.begin[p[pair]] + i], two.order[two.begin[q[pair]] + j], pair
 
+
+def block_range(left: Block, right: Block, same: bool, eps: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of all pairs of keys within ``eps``, in both orders; copies are compared once."""
+    one = Copies(left[2])
+    two = one if same else Copies(right[2])
+    for p, q in within(one.rows, two.rows, same, eps):
+        for i, j, pair in spread(p, q, one, two):
+            a, b = left[0].take(pa.array(i)), right[0].take(pa.array(j))
+            again = pa.array(np.flatnonzero(p[pair] != q[pair]) if same else np.arange(len(i)))  # copies of a row meet in both orders
+            yield pa.record_batch([pa.concat_arrays([a, b.take(again)]), pa.concat_arrays([b, a.take(again)])], names=["a", "b"])
+
+
+def range_pairs(points: DataFrame, eps: float, n: int, blocks: int | None = None) -> DataFrame:
+    """(a, b) of all pairs of rows (row_id, values) within ``eps``, in both orders, and each with itself."""
     rows = points.where(finite(F.col("values"))).select(F.col("row_id").alias("key"), F.lit(0).alias("label"), F.transform("values", lambda v: v.cast("double")).alias("values"))
     kind = dict(points.dtypes)["row_id"]
-    return block_pairs(rows, n, run, f"a {kind}, b {kind}", blocks)
+    return block_pairs(rows, n, lambda left, right, same: block_range(left, right, same, eps), f"a {kind}, b {kind}", blocks)
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
